@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import texts, utf8
 
 MAX_TOKENS = 2048
-#: The text's chunks whose ids a worker keeps; at this many it starts anew, so its memory is bounded.
-CACHE_CHUNKS = 200_000
+#: Chunks, and words, whose ids a worker keeps for good; frequent ones come early. As many as CACHE_YOUNG later ones
+#: are kept until they are full, so a worker's memory is bounded.
+CACHE_CHUNKS, CACHE_YOUNG = 400_000, 100_000
 #: Longer chunks are encoded each time and never kept.
-CACHE_BYTES = 64
+CACHE_BYTES = 48
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -42,37 +43,73 @@ def _tokenizer(path: str):
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary's pattern never matches across ASCII white space and drops it, so a text's ids are
-    those of its white-space separated chunks, one after another. Only texts that may spell a special
-    token, which could span chunks, are encoded whole.
+    The vocabulary's pattern never matches across ASCII white space and drops it, so a text's ids are those
+    of its white-space separated chunks, one after another. A chunk of letters and trailing punctuation is
+    two matches, each encoded for itself; the letters that a text has anew are encoded in one call and told
+    apart by the vocabulary's end-of-word marks. Only texts that may spell a special token, which could span
+    chunks, are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.path, self.seen = path, {}
+        self.tokenizer = _tokenizer(path)
+        self.seen: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
 
-    def _ids(self, text: bytes) -> bytes:
-        ids = _tokenizer(self.path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
-            return self._ids(text)
+            return self._ids(text).tobytes()
         chunks, seen = text.split(), self.seen
         try:
             return b"".join([seen[c] for c in chunks])
         except KeyError:
             pass
-        if len(seen) > CACHE_CHUNKS:
-            seen.clear()
-        out = []
+        self._learn(set(chunks))
+        return b"".join([seen[c] if c in seen else self._ids(c).tobytes() for c in chunks])
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Puts the ids of all chunks but the long ones among the seen."""
+        for cache in (self.seen, self.words):
+            if len(cache) > CACHE_CHUNKS + CACHE_YOUNG:
+                for c in list(cache)[CACHE_CHUNKS:]:
+                    del cache[c]
+        chunks = chunks.difference(self.seen)
+        parts, fresh = [], {}
         for c in chunks:
-            ids = seen.get(c)
-            if ids is None:
-                ids = self._ids(c)
-                if len(c) <= CACHE_BYTES:
-                    seen[c] = ids
-            out.append(ids)
-        return b"".join(out)
+            if len(c) <= CACHE_BYTES:
+                core = c.rstrip(b".,!?;:")
+                key = core.lower()
+                if core and (core.isascii() and core.isalpha() or key.decode("utf-8", "replace").isalpha()):
+                    parts.append((c, key, c[len(core) :]))
+                    if key not in self.words:
+                        fresh[key] = None
+                else:
+                    self.seen[c] = self._ids(c).tobytes()
+        if fresh:
+            ids = self._ids(b" ".join(fresh))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(fresh):
+                a = 0
+                for key, b in zip(fresh, cuts.tolist(), strict=True):
+                    self.words[key] = ids[a:b].tobytes()
+                    a = b
+            else:
+                for key in fresh:
+                    self.words[key] = self._ids(key).tobytes()
+        for c, key, tail in parts:
+            if tail and tail not in self.words:
+                self.words[tail] = self._ids(tail).tobytes()
+            self.seen[c] = self.words[key] + self.words[tail] if tail else self.words[key]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder, with what it has seen in earlier tasks."""
+    return ChunkEncoder(path)
 
 
 def piece_lengths(tokens: int, max_tokens: int = MAX_TOKENS) -> list[int]:
@@ -91,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             keys = batch.column(0)
             raw, at = utf8(batch.column(1))
