@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets, toxicity
+from . import decontam, pii, rules, secrets, toxicity
 from .common import table
 from .packing import pack
 from .warc import archive_round_trip
@@ -18,6 +18,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[1])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,6 +41,6 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op8_toxicity, op9_warc, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op7_rules, op8_toxicity, op9_warc, op10_pack)}
 
 SQL: dict[str, str] = {}
