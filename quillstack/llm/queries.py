@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, rules, secrets, suffix_dedup, toxicity
+from . import decontam, pii, rules, secrets, sketch_dedup, suffix_dedup, toxicity
 from .common import table
 from .packing import pack
 from .warc import archive_round_trip
@@ -26,6 +26,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[1])
 
@@ -45,6 +49,6 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op5_suffix_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
 
 SQL: dict[str, str] = {}
