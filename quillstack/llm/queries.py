@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, rules, secrets, sketch_dedup, suffix_dedup, toxicity
+from . import decontam, pii, rules, secrets, sketch_dedup, suffix_dedup, toolcalls, toxicity
 from .common import table
 from .packing import pack
 from .warc import archive_round_trip
@@ -22,6 +22,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no explicit calls: a user's turn calls for the reply that follows it."""
+    return toolcalls.link(table(spark, sf_dir, "conversations"), implied=True)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,6 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op4_tool_calls, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
 
 SQL: dict[str, str] = {}
