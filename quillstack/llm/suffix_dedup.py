@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, materialize, texts, utf8
+from .common import blocks, byte_codes, materialize, squeezed, texts, unsqueezed, utf8
 
 LENGTH = 100
 Q = 48
@@ -51,7 +51,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0xD
 _R29, _R32 = np.uint64(29), np.uint64(32)
 
 #: What is known of a run or a string.
-SINGLE, REPEATED, OPEN, LEADER = range(4)
+SINGLE, REPEATED, OPEN = range(3)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,17 +156,16 @@ def _pack(place, n, state):
     return (place.astype(np.int64) << 10) | (np.asarray(n, np.int64) << 2) | state
 
 
-def _settle(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows repeat an earlier one of the same keys within a batch, and which are so repeated."""
+def _settle(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows repeat an earlier one of the same keys within a batch."""
     order = np.lexsort((place, doc, *reversed(keys)))
     same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
     for k in keys:
         same &= k[order][1:] == k[order][:-1]
     same &= (doc[order][1:] != doc[order][:-1]) | (place[order][1:] != place[order][:-1])
-    out, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    out = np.zeros(len(order), bool)
     out[order[1:][same]] = True
-    leads[order[:-1][same]] = True
-    return out, leads & ~out
+    return out
 
 
 def _emit_runs(length: int, q: int):
@@ -183,33 +182,31 @@ def _emit_runs(length: int, q: int):
             if not parts:
                 continue
             doc, lo, n, gram, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            settled, leads = _settle([gram, content], doc, lo)
+            settled = _settle([gram, content], doc, lo)
             bucket = np.where(settled, content * _C + doc.astype(np.uint64), gram)
-            code = _pack(lo, n, np.where(settled, REPEATED, np.where(leads, LEADER, OPEN)))
+            code = _pack(lo, n, np.where(settled, REPEATED, OPEN))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket.view(np.int64), content.view(np.int64), doc, code)], ["bucket", "content", "doc_id", "code"])
 
     return run
 
 
 def _refine_runs(batches):
-    """Sorted by bucket, content, doc_id, code -> doc_id, code, with every run of a bucket that has others.
+    """Sorted by bucket, content, doc_id, code -> doc_id, code of the runs that are repeated or still open.
 
     Only a bucket's first run waits for what follows it; its state is all that is carried on.
     """
     last = head = None  # the row before, as a tuple; the open bucket's first run
-    size = kinds = 0
+    kinds = 0
 
     def close():
-        if head is not None and size > 1:
-            yield head[2], (head[3] & ~3) | (OPEN if kinds > 1 else LEADER)
+        if head is not None and kinds > 1:
+            yield head[2], (head[3] & ~3) | OPEN
 
     for batch in batches:
         bucket, content, doc, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         settled = (code & 3) == REPEATED
         out_doc, out_code = [doc[settled]], [code[settled]]
         bucket, content, doc, code = (x[~settled] for x in (bucket, content, doc, code))
-        # A leader has others in its own batch, which were settled there.
-        weight = 1 + ((code & 3) == LEADER)
         if len(bucket):
             before = [np.concatenate(([0 if last is None else last[k]], x[:-1])) for k, x in enumerate((bucket, content, doc, code))]
             new_bucket = bucket != before[0]
@@ -217,26 +214,24 @@ def _refine_runs(batches):
             new_content = new_bucket | (content != before[1])
             again = ~new_content & (doc == before[2]) & (code >> 2 == before[3] >> 2)
             last = (bucket[-1], content[-1], doc[-1], code[-1])
-            bucket, content, doc, code, weight, new_bucket, new_content = (x[~again] for x in (bucket, content, doc, code, weight, new_bucket, new_content))
+            bucket, content, doc, code, new_bucket, new_content = (x[~again] for x in (bucket, content, doc, code, new_bucket, new_content))
         if len(bucket):
             heads = np.flatnonzero(new_bucket)
             inner = ~new_bucket
             out_doc.append(doc[inner])
             out_code.append((code[inner] & ~3) | np.where(new_content[inner], OPEN, REPEATED))
             stop = heads[0] if len(heads) else len(bucket)
-            size += int(weight[:stop].sum())
             kinds += int(new_content[:stop].sum())
             if len(heads):
                 for d, c in close():
                     out_doc.append(np.array([d]))
                     out_code.append(np.array([c]))
-                many = np.add.reduceat(weight, heads)
                 contents = np.add.reduceat(new_content.astype(np.int64), heads)
-                done = (many[:-1] > 1).nonzero()[0]
+                done = (contents[:-1] > 1).nonzero()[0]
                 out_doc.append(doc[heads[done]])
-                out_code.append((code[heads[done]] & ~3) | np.where(contents[done] > 1, OPEN, LEADER))
+                out_code.append((code[heads[done]] & ~3) | OPEN)
                 head = tuple(x[heads[-1]] for x in (bucket, content, doc, code))
-                size, kinds = int(many[-1]), int(contents[-1])
+                kinds = int(contents[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_code))], ["doc_id", "code"])
     rest = list(close())
     if rest:
@@ -258,7 +253,7 @@ def _emit_strings(length: int, q: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, at = utf8(batch.column(1))
+            raw, at = unsqueezed(batch.column(1))
             of, code = _by_row(batch.column(2))
             parts = []
             for a, b in blocks(at, BLOCK_BYTES):
@@ -275,9 +270,15 @@ def _emit_strings(length: int, q: int):
             if not parts:
                 continue
             doc, place, name, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-            settled, _ = _settle([name, check], doc, place)
+            settled = _settle([name, check], doc, place)
+            # Settled strings at consecutive places go on as one row (of up to 128, for code's sake), under a name that spreads them out.
+            joined = np.zeros(len(place), bool)
+            joined[1:] = settled[1:] & settled[:-1] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1) & (place[1:] & 127 != 0)
+            first = np.flatnonzero(~joined)
+            n = np.diff(np.append(first, len(place)))
+            doc, place, name, check, settled = (x[first] for x in (doc, place, name, check, settled))
             name = np.where(settled, name * _C + doc.astype(np.uint64), name)
-            code = _pack(place, np.ones(len(place), np.int64), np.where(settled, REPEATED, OPEN))
+            code = _pack(place, n, np.where(settled, REPEATED, OPEN))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), check.view(np.int64), doc, code)], ["name", "check", "doc_id", "code"])
 
     return run
@@ -308,7 +309,7 @@ def _cut(length: int):
 
     def run(batches):
         for batch in batches:
-            raw, at = utf8(batch.column(1))
+            raw, at = unsqueezed(batch.column(1))
             of, code = _by_row(batch.column(2))
             a = code >> 10
             b = np.minimum(a + (code >> 2 & 255) - 1 + length, np.diff(at)[of]) if len(of) else a
@@ -344,7 +345,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     runs = base.mapInArrow(_emit_runs(length, q), "bucket long, content long, doc_id long, code long")
     runs = materialize(runs.repartition("bucket").sortWithinPartitions("bucket", "content", "doc_id", "code").mapInArrow(_refine_runs, "doc_id long, code long"), "runs")
     asked = runs.groupBy("doc_id").agg(F.collect_list("code").alias("codes"), F.max(F.col("code").bitwiseAND(3) == OPEN).alias("any")).where("any").select("doc_id", "codes")
-    strings = base.join(asked, "doc_id").select("doc_id", "text", "codes").mapInArrow(_emit_strings(length, q), "name long, check long, doc_id long, code long")
+    strings = squeezed(base).join(asked, "doc_id").select("doc_id", "text", "codes").mapInArrow(_emit_strings(length, q), "name long, check long, doc_id long, code long")
     strings = materialize(strings.repartition("name").sortWithinPartitions("name", "check", "doc_id", "code").mapInArrow(_refine_strings, "doc_id long, code long"), "strings")
     return runs.where(F.col("code").bitwiseAND(3) == REPEATED).unionByName(strings)
 
@@ -352,5 +353,5 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     places = repeated_places(docs, length, q).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    rows = texts(docs).join(places, "doc_id", "left").select("doc_id", "text", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
+    rows = squeezed(texts(docs)).join(places, "doc_id", "left").select("doc_id", "text", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
     return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
