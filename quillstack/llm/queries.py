@@ -56,4 +56,48 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op4_tool_calls, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
 
+
+#: What DuckDB can express. The others are tested against plain Python: op1, op2 and op5 need places of matches or
+#: of all bytes, op3 lays templates side by side, op8 learns, op10 has a vocabulary.
 SQL: dict[str, str] = {}
+
+SQL["op4_tool_calls"] = """
+WITH c AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS key FROM conversations),
+i AS (SELECT conv_id, key, min(turn) FILTER (kind = 'call') AS call_turn, min(turn) FILTER (kind = 'result') AS result_turn, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results FROM c WHERE key IS NOT NULL GROUP BY ALL)
+SELECT c.conv_id, c.turn, 0 AS part, c.role, kind, 't' || c.key AS call_id, CASE WHEN kind = 'call' THEN 'reply' END AS tool,
+CASE kind WHEN 'call' THEN result_turn IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL END AS linked, CASE kind WHEN 'call' THEN result_turn WHEN 'result' THEN call_turn END AS partner_turn,
+CASE WHEN kind = 'call' THEN 0 END AS level, coalesce(CASE WHEN kind = 'result' THEN call_turn END, turn) AS sort_turn, CASE kind WHEN 'result' THEN 2 WHEN 'call' THEN 1 ELSE 0 END AS sort_rank, CASE WHEN kind = 'call' THEN text <> '' END AS valid,
+nullif(concat_ws('; ', CASE WHEN kind = 'call' AND text = '' THEN '$.text: minLength' END, CASE WHEN kind = 'call' AND calls > 1 OR kind = 'result' AND results > 1 THEN 'duplicate id' END, CASE WHEN kind = 'result' AND call_turn IS NULL THEN 'no call' END,
+CASE WHEN kind = 'call' AND result_turn IS NULL THEN 'no result' END), '') AS problem,
+CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || '},"id":"t' || c.key || '","name":"reply"}' WHEN 'result' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"t' || c.key || '"}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+FROM c LEFT JOIN i ON c.conv_id = i.conv_id AND c.key = i.key
+"""
+
+SQL["op6_sketch_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM r LEFT JOIN n ON r.a = n.doc_id GROUP BY a
+"""
+
+_RULE_BITS = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(rules.RULES))
+SQL["op7_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\t-\r]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\t-\r]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i:i+4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, length(text) - length(translate(text, '{rules.SYMBOLS}', '')) AS n_symbols, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals,
+CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p ON w.doc_id = p.doc_id),
+b AS (SELECT *, CAST({_RULE_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT *, fail_bits & {rules.BASE.mask} <> 0 AS base_failed, fail_bits & {rules.BASE.mask | rules.POLICIES[1].mask} = 0 AS kept, '{rules.POLICIES[1].version}' AS policy FROM b
+"""
+
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS leader FROM h)
+SELECT page_id, payload_bytes, upper(array_to_string(list_transform(range(0, 8), lambda k: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) >> s) & 31) + 1, 1)), lambda a, x: a || x)), '')) AS payload_digest,
+CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> leader THEN leader END AS refers_to FROM g
+"""
