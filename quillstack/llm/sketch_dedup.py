@@ -43,7 +43,7 @@ SHARED = 16
 #: An estimate below this share of the union's sketch is clearly too low.
 LEAST_ESTIMATE = 0.5
 LIST = 64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Of two longs each.
 BROADCAST_ROWS = 500_000
 
@@ -133,9 +133,18 @@ def _exploded(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])), pa.array(np.concatenate([np.zeros(0, "<i8"), *sets]))], ["rep", "value"])
 
 
-def _alike(x: str, y: str, percent: int) -> Column:
-    """Sizes that the threshold admits."""
-    return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+def _alike(percent: int) -> Column:
+    """Whether the threshold admits sets of these sizes n, na of which at most ``common`` and ``commona`` shingles are shared with any."""
+    shared = F.least("common", "commona")
+    return (100 * shared) >= (percent * (F.col("n") + F.col("na") - shared))
+
+
+#: An entry as the other side of a join.
+_OTHER = {"rep": "a", "n": "na", "common": "commona", "component": "ca"}
+
+
+def _other(entries: DataFrame) -> DataFrame:
+    return entries.select("value", *(F.col(k).alias(v) for k, v in _OTHER.items()))
 
 
 class _Verifier:
@@ -162,8 +171,8 @@ def _with_component(entries: DataFrame, found: DataFrame | None) -> DataFrame:
 def _picks(entries: DataFrame, salt: int, percent: int) -> DataFrame:
     """Pairs of each list's picked member and its others of another component."""
     pick = entries.groupBy("value").agg(F.min_by("rep", F.xxhash64("rep", "value", F.lit(salt))).alias("pick"))
-    chosen = entries.join(pick, ["value"]).where("rep = pick").select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    return entries.join(chosen, "value").where((F.col("component") != F.col("ca")) & _alike("n", "na", percent)).select("a", F.col("rep").alias("b"))
+    chosen = entries.join(pick, ["value"]).where("rep = pick")
+    return entries.join(_other(chosen), "value").where((F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -198,11 +207,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         large = materialize(_with_component(large.drop("component"), found), "large")
         counts = large.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
         main = counts.groupBy("value").agg(F.max_by("component", "members").alias("main"))
-        outside = large.join(main, "value").where("component <> main").select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        rest = large.join(outside, "value").where((F.col("component") != F.col("ca")) & _alike("n", "na", percent)).select("a", F.col("rep").alias("b"))
+        outside = _other(large.join(main, "value").where("component <> main"))
+        rest = large.join(outside, "value").where((F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
         small = _with_component(small.drop("component"), found)
-    other = small.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    pairs = small.join(other, "value").where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("ca")) & _alike("n", "na", percent)).select("a", F.col("rep").alias("b"))
+    pairs = small.join(_other(small), "value").where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
     links = links.unionByName(verify(pairs if rest is None else pairs.unionByName(rest), "links"))
     found = components(links)
 
@@ -223,17 +231,18 @@ def _lists(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     listed = held.where(room > 0).select("rep", "n", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.greatest(F.lit(0), room))).alias("v")).select("rep", "n", "v.value")
     listed = materialize(listed, "listed")
     several = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialize(listed.join(several.select("value"), "value"), "lists")
+    return materialize(listed.join(several.select("value"), "value").withColumn("common", F.col("n")), "lists")
 
 
 def _linkable(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The entries whose documents may have a link among those of all large lists.
+    """The entries whose documents may have a link among those of all large lists, with ``common``.
 
-    A link leaves at most ``n - ceil(n * percent / 100)`` of a document's shingles without a partner, so one
-    with more that no other of these documents has is out. Exact, and linear in their texts.
+    That is how many of a document's shingles any other of these documents has: an exact bound on what it can
+    share, which takes out documents, and pairs, that can't be linked. Linear in the documents' texts.
     """
     members = large.select("rep", "n").distinct()
     flat = sets.join(members.select("rep"), "rep").select("rep", "set").mapInArrow(_exploded, "rep long, value long")
     alone = flat.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).where("times = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    out = members.join(alone, "rep", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    return materialize(large.join(out.select("rep"), "rep"), "linkable")
+    out = members.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    out = large.drop("common").join(out, "rep").where(100 * F.col("common") >= percent * F.col("n"))
+    return materialize(out, "linkable")
