@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -17,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A worker gets its rows in Arrow batches of so many bytes at most (or of one row), however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key, None)
+    if given is None or not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that the document operators read; a null text counts as empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
@@ -43,9 +56,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    gc.collect()
-    jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    for _ in range(2):  # what the first collection finds unreachable may have been all that held the rest
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:

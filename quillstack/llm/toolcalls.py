@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 REPLY = {"type": "object", "properties": {"text": {"type": "string", "minLength": 1}}, "required": ["text"], "additionalProperties": False}
 #: Longer chains of citations than this are reported as unresolved.
@@ -162,6 +162,7 @@ def _levels(parts: DataFrame) -> DataFrame | None:
 
 def link(messages: DataFrame, schemas: dict | None = None, implied: bool = False) -> DataFrame:
     """conv_id, turn, part, role, kind, call_id, tool, linked, partner_turn, level, sort_turn, sort_rank, valid, problem, json."""
+    bound_batches(messages.sparkSession)
     schemas = {"reply": REPLY} | (schemas or {})
 
     def run(batches):

@@ -27,9 +27,9 @@ from .common import blocks, byte_codes, scramble, texts, utf8, word_hashes
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 #: The largest number of labelled documents that a fit reads.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 PREFIX = 4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _CODES = byte_codes(20)
 _BREAKS = np.ones(256, bool)
@@ -87,9 +87,9 @@ def scores(column: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.2, beta: float = 1.0, l1: float = 6.0, l2: float = 0.5, epochs: int = 4) -> Model:
     """FTRL-proximal with per-coordinate rates over sets of slots.
 
-    ``l1`` is meant for ``TRAIN_ROWS`` rows; a coordinate's noise grows with the root of the rows, so it is scaled by that.
+    ``l1`` is for 12,000 rows; a coordinate's noise grows with the root of the rows, so it is scaled by that.
     """
-    l1 *= (len(rows) / TRAIN_ROWS) ** 0.5
+    l1 *= (len(rows) / 12_000) ** 0.5
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
     zb = nb = 0.0
     order = np.random.default_rng(11)
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     if not rows.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
     rows = rows.sort_by([("doc_id", "ascending")])
-    return ftrl([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["slots"]], rows["toxic"].to_numpy().astype(float))
+    return ftrl([np.frombuffer(x.as_py(), "<u4") for x in rows["slots"]], rows["toxic"].to_numpy().astype(float))
 
 
 def scorer(model: Model):

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
@@ -108,6 +108,7 @@ def link_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Only digests and ids are grouped; the partial aggregate keeps one row of a payload for each task. The
     page texts move once, to meet ``refers_to``.
     """
+    bound_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     thin = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("size"))
     groups = thin.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1 and leader is not null")
