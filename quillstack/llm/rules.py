@@ -49,7 +49,11 @@ def measure(docs: DataFrame) -> DataFrame:
     at = F.filter("pairs", lambda x, i: (x["h"] == F.get("pairs", i - 1)["h"]) | (x["h"] == F.get("pairs", i + 1)["h"]))
     df = df.withColumn("starts", F.sort_array(F.transform(at, lambda x: x["i"])))
     covered = F.aggregate("starts", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")), lambda s: s["n"])
-    return df.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines")), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # The measurements leave through a one-row generator: a filter on them would else be pushed through the projections
+    # above, which puts whole arrays inside the lambdas that read them and evaluates those for every element.
+    names = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines")
+    row = F.struct(*(F.col(c).cast("long").alias(c) for c in names), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return df.select("doc_id", F.inline(F.array(row)))
 
 
 #: Name and failing condition over the measurements; a rule's place is its bit, so new ones go to the end.
