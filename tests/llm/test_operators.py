@@ -145,7 +145,7 @@ def test_tool_calls(spark):
         (None, 0, "user", "{broken"), (3, None, None, None),
     ]
     got = {(r.conv_id, r.turn, r.part): r for r in toolcalls.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), tools).collect()}
-    assert len(got) == 11
+    assert len(got) == 12
     assert got[1, 1, 1].json == '{"arguments":{"a":1.5,"b":2},"id":"x","name":"add"}' and got[1, 1, 1].valid and got[1, 1, 1].partner_turn == 2 and got[1, 1, 1].level == 0
     assert got[1, 1, 2].level == 1 and not got[1, 1, 2].valid and "$.b: minimum" in got[1, 1, 2].problem and "no result" in got[1, 1, 2].problem
     assert got[1, 2, 0].linked and got[1, 2, 0].sort_turn == 1 and got[1, 3, 0].problem == "no call"
