@@ -3,10 +3,12 @@
 Tokens are runs of letters and digits, lower-cased. Numbers, names (capitalised words inside a sentence) and
 units become typed placeholders, so a question that was only re-parameterised keeps its template. Windows of
 template tokens are hashed and joined; for every (document, item, alignment) that shares a window the whole
-item is then laid against the document. It is contaminated by the item if at least ``PASSAGE`` consecutive
-template tokens agree (the whole item, if that is shorter, but for its first token, which may or may not stand
-inside a sentence where it is quoted) and the slots in them are consistent: equal slot
-values of the item stand for equal values in the document, and different ones for different ones.
+item is then laid against the document. It is contaminated by the item if a run of at least ``PASSAGE`` consecutive
+template tokens agrees (the whole item, if that is shorter, but for its first token, which may or may not stand
+inside a sentence where it is quoted) and the slots in the run are consistent: equal slot
+values of the item stand for equal values in the document, and different ones for different ones. Every run of an
+alignment is tested, as far as it extends. ``PASSAGE`` consecutive tokens that agree verbatim, slot values included,
+are enough whatever the run around them holds.
 
 Every item window is indexed, but only each ``STRIDE``-th of a document's: a run of PASSAGE tokens holds
 WINDOW-token windows at STRIDE consecutive places, so one of those is looked up and no such run is missed.
@@ -48,10 +50,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{_MARK}]+"), lambda w: w != "")
 
 
+def _code(w: Column) -> Column:
+    """A token's code: its placeholder's, or its hash."""
+    first = F.ascii(w)
+    return F.when(first.between(48, 57), F.lit(NUMBER)).when(first == ord(_MARK), F.lit(NAME)).when(w.isin(UNITS), F.lit(UNIT)).otherwise(F.xxhash64(w)).cast("long")
+
+
 def template(words: Column) -> Column:
-    """A code for each token: its placeholder's, or its hash."""
-    first = lambda w: F.ascii(w)
-    return F.transform(words, lambda w: F.when(first(w).between(48, 57), F.lit(NUMBER)).when(first(w) == ord(_MARK), F.lit(NAME)).when(w.isin(UNITS), F.lit(UNIT)).otherwise(F.xxhash64(w)).cast("long"))
+    """A code for each token."""
+    return F.transform(words, _code)
 
 
 def windows(codes: str, size: int, stride: int) -> Column:
@@ -61,18 +68,49 @@ def windows(codes: str, size: int, stride: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size, F.lit(stride)), cut))
 
 
-def _run(codes: str, item_codes: str, shift: str) -> Column:
-    """struct(start, size) of the longest run of equal codes, the first of the longest; places are the item's."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cur"), F.lit(0).alias("start"), F.lit(0).alias("size"))
+def _laid(words: Column) -> Column:
+    """For each token of the item: its code and word, the document's word at its place, and whether the codes agree."""
+    before = F.greatest(-F.col("shift"), F.lit(0))
+    quoted = F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(words, F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("item_tokens") - before))
+    pair = lambda item, w: F.struct(item["item_codes"].alias("kind"), item["item_words"].alias("of"), w.alias("value"), (w.isNotNull() & (_code(w) == item["item_codes"])).alias("same"))
+    return F.zip_with(F.arrays_zip("item_codes", "item_words"), quoted, pair)
+
+
+def _passage(laid: Column) -> Column:
+    """struct(run_tokens, n_slots, exact) of the longest passage, null if there is none.
+
+    One pass over the item: ``start`` is where the run of equal codes up to here begins, ``same`` where the verbatim
+    one does; ``slots`` are the run's.
+    """
+    slots_type = "array<struct<at:int,kind:bigint,of:string,value:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("same"), F.array().cast(slots_type).alias("slots"), F.lit(None).cast("struct<run_tokens:int,n_slots:int,exact:boolean>").alias("best"))
+    passage = lambda size, n_slots, exact: F.struct(size.alias("run_tokens"), n_slots.alias("n_slots"), exact.alias("exact"))
+
+    def run(s):
+        slots, size = s["slots"], s["at"] - s["start"]
+        side = lambda *names: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], *(x[n] for n in names)))))
+        pairs, exact = side("of", "value"), F.forall(slots, lambda x: x["of"] == x["value"])
+        consistent = (size - F.size(slots) >= LEAST) & (pairs == side("of")) & (pairs == side("value"))
+        return F.when((size >= F.col("need")) & (exact | consistent), passage(size, F.size(slots), exact))
+
+    def verbatim(s):
+        size = s["at"] - s["same"]
+        return F.when(size >= F.col("need"), passage(size, F.size(F.filter(s["slots"], lambda x: x["at"] >= s["same"])), F.lit(True)))
 
-    def step(s, code):
-        place = s["at"] + F.col(shift)
-        same = F.coalesce((place >= 0) & (F.get(F.col(codes), place) == code), F.lit(False))
-        cur = F.when(same, s["cur"] + 1).otherwise(0)
-        longer = cur > s["size"]
-        return F.struct((s["at"] + 1).alias("at"), cur.alias("cur"), F.when(longer, s["at"] + 1 - cur).otherwise(s["start"]).alias("start"), F.when(longer, cur).otherwise(s["size"]).alias("size"))
+    def step(s, p):
+        slot, after = p["same"] & p["kind"].between(NUMBER, UNIT), s["at"] + 1
+        this = F.struct(s["at"].alias("at"), p["kind"].alias("kind"), p["of"].alias("of"), p["value"].alias("value"))
+        ends = F.when(~p["same"], F.greatest(s["best"], run(s), verbatim(s))).when(p["of"] != p["value"], F.greatest(s["best"], verbatim(s))).otherwise(s["best"])
+        return F.struct(
+            after.alias("at"),
+            F.when(p["same"], s["start"]).otherwise(after).alias("start"),
+            F.when(p["same"] & (p["of"] == p["value"]), s["same"]).otherwise(after).alias("same"),
+            F.when(~p["same"], F.array().cast(slots_type)).when(slot, F.concat(s["slots"], F.array(this))).otherwise(s["slots"]).alias("slots"),
+            # Of a shorter item only what reaches its end counts.
+            F.when(F.col("need") == PASSAGE, ends).otherwise(s["best"]).alias("best"),
+        )
 
-    return F.aggregate(item_codes, zero, step)
+    return F.aggregate(laid, zero, step, lambda s: F.greatest(s["best"], run(s), verbatim(s)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,21 +137,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = aligned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     laid = texts(docs).join(F.broadcast(aligned) if few else aligned, "doc_id")
-    laid = laid.select("doc_id", "item_id", "shift", tokens(F.col("text")).alias("words")).join(F.broadcast(items) if small else items, "item_id")
-    laid = laid.withColumn("codes", template(F.col("words"))).withColumn("run", _run("codes", "item_codes", "shift"))
-    places = F.when(F.col("run.size") > 0, F.sequence(F.col("run.start"), F.col("run.start") + F.col("run.size") - 1)).otherwise(F.array().cast("array<int>"))
-    slots = F.transform(
-        F.filter(places, lambda i: F.get(F.col("item_codes"), i).between(NUMBER, UNIT)),
-        lambda i: F.struct(F.get(F.col("item_codes"), i).alias("kind"), F.get(F.col("item_words"), i).alias("of"), F.get(F.col("words"), i + F.col("shift")).alias("value")),
-    )
-    laid = laid.withColumn("slots", slots)
-    pairs = F.size(F.array_distinct("slots"))
-    side = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[name]))))
-    consistent = (pairs == side("of")) & (pairs == side("value")) & (F.col("run.size") - F.size("slots") >= F.least(F.lit(LEAST), F.col("run.size")))
-    exact = F.forall("slots", lambda s: s["of"] == s["value"])
-    # Rows are told apart by a column and dropped after the aggregate: a filter here would be pushed through the
-    # projections above and evaluate their arrays again inside each lambda.
-    hit = (F.col("run.size") >= F.col("need")) & (consistent | exact)
-    laid = laid.select("doc_id", "item_id", "item_tokens", F.when(hit, F.struct(F.col("run.size").alias("run_tokens"), F.size("slots").alias("n_slots"), exact.alias("exact"))).alias("best"))
+    laid = laid.join(F.broadcast(items) if small else items, "item_id")
+    # Alignments without a passage are dropped after the aggregate: a filter here would be pushed through the
+    # projection and evaluate its arrays again.
+    laid = laid.select("doc_id", "item_id", "item_tokens", _passage(_laid(tokens(F.col("text")))).alias("best"))
     best = laid.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.max("best").alias("best")).where("best is not null")
     return best.select("doc_id", "item_id", "item_tokens", "best.run_tokens", "best.n_slots", "best.exact")

@@ -125,6 +125,26 @@ def test_contamination(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 == decontam.contaminated(docs, bench.limit(0)).count()
 
 
+def test_contamination_by_part_of_a_run(spark):
+    words = lambda a, b: " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}w" for k in range(a, b))
+    item = f"{words(0, 3)} 5 {words(3, 27)} 5 {words(27, 28)}"
+    two = f"{words(30, 32)} 5 {words(32, 37)} 5 {words(37, 51)} zz {words(51, 61)} 8 {words(61, 64)}"
+    short = "hw gw 5 fw ew 7 dw 5"
+    docs = spark.createDataFrame(
+        [
+            (1, f"{words(0, 3)} 5 {words(3, 27)} 7 {words(27, 28)}"),  # verbatim up to the second 5
+            (2, f"{words(0, 3)} 6 {words(3, 14)} qq {words(15, 27)} 7 {words(27, 28)}"),  # a consistent run of 15 tokens, then a broken one of 14
+            (3, f"{words(3, 14)} 5"),
+            (4, f"{words(30, 32)} 1 {words(32, 37)} 2 {words(37, 51)} yy {words(51, 61)} 9 {words(61, 64)}"),  # the longest run inconsistent, the second of 14 consistent
+            (5, "hw gw 5 fw ew 7 dw 6"),
+        ],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(1, item), (2, two), (3, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.run_tokens, r.n_slots, r.exact) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (28, 1, True), (2, 1): (15, 1, False), (4, 2): (14, 1, False)}
+
+
 def test_contamination_finds_whole_items(spark):
     docs, bench = common.table(spark, f"{DATA}/sf0.01", "documents"), common.table(spark, f"{DATA}/sf0.01", "benchmark")
     texts = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
