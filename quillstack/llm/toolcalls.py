@@ -23,6 +23,8 @@ level null and say so; broken JSON is a plain message; extra columns are ignored
 from __future__ import annotations
 
 import json
+from collections import defaultdict
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize
 
 REPLY = {"type": "object", "properties": {"text": {"type": "string", "minLength": 1}}, "required": ["text"], "additionalProperties": False}
-#: Longer chains of citations than this are reported as unresolved.
-MOST_LEVELS = 64
+#: Of two short identifiers each: what is left of the citations is followed on the driver once it is no more.
+LOCAL_CITES = 50_000
 
 PARTS = "conv_id long, turn long, part int, role string, kind string, call_id string, tool string, cites array<string>, valid boolean, problem string, json string"
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -142,22 +144,49 @@ def parse(conv_id, turn, role, text, schemas: dict, implied: bool) -> list[dict]
     return [row(0, "message", {"role": role, "content": text})]
 
 
+def _chains(edges: list) -> list[tuple[int, str, int]]:
+    """(conv_id, call_id, level) of the calls whose citations all resolve; an edge is (conv_id, call_id, of, level of what it cites, if known)."""
+    level, waits, citing = defaultdict(int), defaultdict(int), defaultdict(list)
+    for conv, call, of, known in edges:
+        if known is None:
+            waits[conv, call] += 1
+            citing[conv, of].append((conv, call))
+        level[conv, call] = max(level[conv, call], 1 + (known or 0))
+    ready = [call for call in level if not waits[call]]
+    for call in ready:  # grows while it is read
+        for above in citing[call]:
+            level[above] = max(level[above], level[call] + 1)
+            waits[above] -= 1
+            if not waits[above]:
+                ready.append(above)
+    return [(*call, level[call]) for call in ready]
+
+
 def _levels(parts: DataFrame) -> DataFrame | None:
-    """conv_id, call_id, level of the calls that cite or are cited; None where no call cites any."""
+    """conv_id, call_id, level of the calls that cite or are cited; None where no call cites any.
+
+    Each round resolves the calls whose citations are all resolved, until a round resolves none: what is left then is
+    a circle, an unknown call, or cites one. As soon as few citations are left, one pass over them ends it.
+    """
     cites = parts.where("kind = 'call' and call_id is not null and conv_id is not null").select("conv_id", "call_id", F.explode("cites").alias("of")).distinct()
     if cites.isEmpty():
         return None
     cites = materialize(cites, "cites")
     calls = parts.where("kind = 'call' and conv_id is not null").select("conv_id", "call_id").distinct()
     known = materialize(calls.join(cites.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    for level in range(1, MOST_LEVELS + 1):
-        open_ = cites.join(known.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        ready = open_.join(known.select("conv_id", F.col("call_id").alias("of"), "level"), ["conv_id", "of"], "left").groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("waits")).where("waits = 0")
-        ready = materialize(ready.select("conv_id", "call_id", F.lit(level).alias("level")), "levels")
+    cited = lambda resolved: resolved.select("conv_id", F.col("call_id").alias("of"), F.col("level").alias("found"))
+    edges = materialize(cites.join(cited(known), ["conv_id", "of"], "left").select("conv_id", "call_id", "of", F.col("found").alias("level")), "edges")
+    for n in count(1):
+        if edges.limit(LOCAL_CITES + 1).count() <= LOCAL_CITES:
+            return known.unionByName(parts.sparkSession.createDataFrame(_chains(edges.collect()), "conv_id long, call_id string, level int"))
+        ready = materialize(edges.groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("waits")).where("waits = 0").drop("waits"), "levels")
         if ready.isEmpty():
-            break
+            return known
         known = known.unionByName(ready)
-    return known
+        if n % 16 == 0:
+            known = materialize(known, "levels")  # or the plan grows with the depth
+        rest = edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+        edges = materialize(rest.join(cited(ready), ["conv_id", "of"], "left").select("conv_id", "call_id", "of", F.coalesce("level", "found").alias("level")), "edges")
 
 
 def link(messages: DataFrame, schemas: dict | None = None, implied: bool = False) -> DataFrame:

@@ -175,6 +175,18 @@ def test_tool_calls(spark):
     assert implied.count() == common.table(spark, SMALL, "conversations").count() and implied.where("kind = 'result' and not linked").count() == 0
 
 
+@pytest.mark.parametrize(("local", "depth"), [(50_000, 150), (0, 5)])
+def test_tool_calls_in_long_chains(spark, monkeypatch, local, depth):
+    monkeypatch.setattr(toolcalls, "LOCAL_CITES", local, raising=False)
+    call = lambda k, *cited: {"id": k, "name": "f", "arguments": {"of": [{"$ref": c} for c in cited]}}
+    chain = [call("c0"), *(call(f"c{k}", f"c{k - 1}", "c0") for k in range(1, depth + 1))]
+    odd = [call("p", "q"), call("q", "p"), call("r", "c1", "p"), call("s", "nowhere"), call("t", "t"), call("u", "c2", "c1")]
+    data = [(1, 0, "assistant", json.dumps({"tool_calls": chain + odd})), (2, 0, "assistant", json.dumps({"tool_calls": chain[:3]}))]
+    got = {(r.conv_id, r.call_id): (r.level, "unresolved citation" in (r.problem or "")) for r in toolcalls.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), {"f": {}}).where("kind = 'call'").collect()}
+    expected = {(1, f"c{k}"): (k, False) for k in range(depth + 1)} | {(2, f"c{k}"): (k, False) for k in range(3)} | {(1, k): (None, True) for k in "pqrst"} | {(1, "u"): (3, False)}
+    assert got == expected
+
+
 def test_schema_violations():
     schema = {"type": "array", "minItems": 1, "items": {"enum": [1, "a"]}}
     assert toolcalls.violations([], schema) == ["$: minItems"] and toolcalls.violations([1, "b"], schema) == ["$[1]: not one of the values"]
