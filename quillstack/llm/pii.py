@@ -96,12 +96,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ibans(text: str):
+    """Spans of valid codes. A match may run on into the words after a code, or begin before one: it is tried without its last groups, and then from the next place."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = m.end()
+        while end > m.start() and not mod97(text[m.start() : end]):
+            end = max(text.rfind(" ", m.start(), end), m.start())
+        if end > m.start():
+            yield m.start(), end
+        at = max(end, m.start() + 1)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Base spans and the IBANs that overlap none of them but card numbers."""
     out = base_spans(text)
     if _DIGIT.search(text):
         taken = [s for s in out if s[0] != "card"]
-        out += [s for m in _IBAN.finditer(text) if mod97(m[0]) and not overlaps(s := ("iban", *m.span()), taken)]
+        out += [s for a, b in _ibans(text) if not overlaps(s := ("iban", a, b), taken)]
     return out
 
 

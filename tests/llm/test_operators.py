@@ -100,6 +100,15 @@ def test_pii_checks_and_context():
     assert pii.redact("write a@b.co now") == "write [email] now"
 
 
+def test_iban_before_and_after_capitals():
+    code = "ES91 2100 0418 4502 0005 1332"
+    for code in (code, code.replace(" ", "")):
+        for text in (f"{code} BIC CAIXESBB", f"{code} EUR", f"{code} CAIXESBBXXX now", f"AB12 3456 7890 {code}", f"{code} {code}", f"{code}."):
+            spans = [text[a:b] for k, a, b in pii.find(text) if k == "iban"]
+            assert spans == [code] * text.count(code), text
+    assert not [s for s in pii.find(code[:-1] + "3 BIC") if s[0] == "iban"]
+
+
 def test_spans_text():
     assert encode_spans([("b", 3, 5), ("a", 3, 4), ("a", 0, 1)], ("a", "b")) == "a:0:1,a:3:4,b:3:5"
     assert mask("0123456789", [("a", 1, 4), ("b", 3, 6), ("c", 8, 9)]) == "0[a]67[c]9"
