@@ -27,7 +27,7 @@ from .common import blocks, byte_codes, scramble, texts, utf8, word_hashes
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 #: The largest number of labelled documents that a fit reads.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
 PREFIX = 4
 BLOCK_BYTES = 1 << 19
 

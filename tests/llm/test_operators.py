@@ -1,6 +1,7 @@
 """The operators against plain Python, on small fixtures and on the smallest tables."""
 
 import hashlib
+import inspect
 import json
 import random
 import re
@@ -341,6 +342,10 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * len(got)
 
 
+def test_toxicity_fits_on_all_its_rows():
+    assert inspect.signature(toxicity.fit).parameters["train_rows"].default == 12_000
+
+
 def test_toxicity_without_labels(spark):
     docs = common.table(spark, SMALL, "documents").limit(3)
     model = toxicity.fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
