@@ -180,17 +180,27 @@ def assemble(bundles: DataFrame, bundle: str) -> bytes:
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records read back from the frames, one row each; the payload's size and digest come from its bytes on responses."""
+    """The records read back, one row each; the payload's size and digest come from its bytes on responses.
+
+    Each is cut out at the start and length that the index names; one that is not the record named there, or bytes
+    of a frame that the index doesn't cover, are an error.
+    """
 
     def read(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for data in batch.column(0):
+            for data, places in zip(batch.column(0), batch.column(1), strict=True):
                 raw = data.as_py()
                 if int.from_bytes(raw[:4], "little") == SKIPPABLE_MAGIC:
                     continue
-                rows = []
-                for fields, block in parse_records(unpack.decompress(raw)):
+                rows, frame, at = [], unpack.decompress(raw), 0
+                for place in places.as_py():
+                    piece = frame[place["start"] : place["start"] + place["length"]]
+                    found = list(parse_records(piece)) if place["start"] == at and piece[:5] == b"WARC/" else []
+                    if len(found) != 1 or found[0][0]["WARC-Record-ID"] != f"<{place['id']}>":
+                        raise ValueError(f"no record {place['id']} at {place['start']}")
+                    at += len(piece)
+                    fields, block = found[0]
                     name = fields["WARC-Record-ID"][10:-1]
                     revisit = fields["WARC-Type"] == "revisit"
                     payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
@@ -199,10 +209,12 @@ def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
                         "payload_digest": fields["WARC-Payload-Digest"][5:] if revisit else digest32(payload), "record_type": fields["WARC-Type"],
                         "refers_to": int(fields["WARC-Refers-To"][10:-1]) if revisit else None, "payload": payload if with_payload else None,
                     })
+                if at != len(frame):
+                    raise ValueError(f"{len(frame) - at} bytes of a frame are not in the index")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    out = bundles.select("data").mapInArrow(read, RECORDS)
+    out = bundles.select("data", "records").mapInArrow(read, RECORDS)
     return out if with_payload else out.drop("payload")
 
 

@@ -374,6 +374,15 @@ def test_archives(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrong", ["transform(records, r -> named_struct('id', r.id, 'page_id', r.page_id, 'start', r.start + 1, 'length', r.length))", "reverse(records)", "slice(records, 1, size(records) - 1)"])
+def test_archives_with_a_wrong_index(spark, wrong):
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(1, 4)], "page_id long, url string, html string").coalesce(1)
+    bundles = warc.write_bundles(pages.withColumn("refers_to", F.lit(None).cast("long"))).persist()
+    assert warc.read_bundles(bundles).count() == 3
+    with pytest.raises(Exception, match="no record|not in the index"):
+        warc.read_bundles(bundles.withColumn("records", F.when(F.size("records") > 0, F.expr(wrong)).otherwise(F.col("records")))).collect()
+
+
 def test_encoder_is_the_tokenizer(spark):
     exact, encoder = Tokenizer.from_file(VOCABULARY), packing.ChunkEncoder(VOCABULARY)
     texts = [r.text for r in common.table(spark, SMALL, "documents").select("text").collect()]
