@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -290,6 +291,18 @@ def test_near_copies(spark, width, percent, monkeypatch):
     assert got == brute_near(data, width, percent)
 
 
+def test_near_copies_at_the_threshold(spark):
+    assert (sketch_dedup.least_shared(85), sketch_dedup.least_shared(80)) == (16, 13)
+    words = [f"w{k}" for k in range(400)]
+    order = np.argsort([s[0] for s in sketch_dedup.shingle_sets(pa.array(words), 1)])
+    words = [words[k] for k in order]
+    # Of the 32 smallest hashes of 200 words 14 are of common words; in all, 160 are.
+    own, common_words = words[:18] + words[178:200], words[18:178]
+    data = [(1, " ".join(own[::2] + common_words)), (2, " ".join(own[1::2] + common_words))]
+    got = {r.doc_id: r.component_id for r in sketch_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 8), (2, 5), (20, 9), *((k + 1, k) for k in range(100, 140))]
     got = dict(rows(components.components(spark.createDataFrame(links, "a long, b long"))))
