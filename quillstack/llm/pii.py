@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = _emails(text) if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p[-4:]) <= 255 and (len(p) <= 3 or int(p) <= 255) for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if 12 <= m.end() - m.start() <= 38:
             digits = _NOT_DIGIT.sub("", m[0])
