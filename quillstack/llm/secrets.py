@@ -1,9 +1,11 @@
 """Secret scan: a linear-chain conditional random field tags tokens as begin, inside or outside of a secret.
 
 The tagger's features are a token's own shape (runs of character classes, length, mixture, entropy), its
-word, the words of its neighbours, and features of the whole file (digit share, assignments). It is decoded
-by Viterbi. It is trained here, in about a second, by maximum likelihood over sentences that a seeded
-generator writes (``training_sentences``), so it is the same model for every input.
+make of its parts, its word, the words of its neighbours, and features of the whole file (digit share,
+assignments). It is decoded by Viterbi. It is trained here, in a few seconds, by maximum likelihood over sentences
+that a seeded generator writes (``training_sentences``), so it is the same model for every input. They hold secrets
+after keywords, in headers, in URLs and standing alone, and what looks like one but is none: identifiers, paths,
+links, UUIDs, versions, dates, images in base64, and keywords that no secret follows.
 
 Three patterns are the base (assign, access, hex); their spans always stay. Spans of the tagger that overlap
 no base span are added as kind ``crf``.
@@ -60,19 +62,36 @@ BEGIN, INSIDE, OUTSIDE = range(3)
 _CHUNK = re.compile(r"\S+")
 
 
-@lru_cache(maxsize=50_000)
+#: Longer tokens are looked at anew each time, so that what a worker remembers is bounded in bytes.
+CACHE_CHARS = 64
+_PART = re.compile(r"[^\W_]+")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_VOWELS = frozenset("aeiouyAEIOUY")
+
+
+def _class(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "-"
+
+
 def own_features(token: str) -> tuple[str, ...]:
     """Features of a token alone."""
+    return _remembered(token) if len(token) <= CACHE_CHARS else _own(token)
+
+
+def _own(token: str) -> tuple[str, ...]:
     n = len(token)
     if n == 1 and not token.isalnum():
         return ("bias", "punct", f"w={token}")
     core = token.strip(".-/+=_")
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "-" for c in core[:64]))
+    classes = "".join(map(_class, core))
+    shape = re.sub(r"(.)\1+", r"\1", classes)
     out = ["bias", f"len={min(8, n.bit_length() + (n >= 24) + (n >= 36))}", f"shape={shape if len(shape) <= 4 else 'mixed' if len(shape) <= 10 else 'scrambled'}"]
     low = core.lower()
     out.append("w=" + word(token))
     if core.isalpha():
         out.append("letters")
+        if core.islower() or core.isupper() or core[1:].islower():
+            return tuple(out)
     digits = sum(c.isdigit() for c in core)
     letters = sum(c.isalpha() for c in core)
     if digits and letters and n >= 8:
@@ -85,11 +104,25 @@ def own_features(token: str) -> tuple[str, ...]:
             out.append("three-classes")
     if low.startswith(PREFIXES):
         out.append("known-prefix")
+    # The make of its parts: a path, a name or a date has parts of one kind each, a key has long scrambled ones.
+    parts = _PART.findall(core)
+    longest = max(parts, key=len, default="")
+    turns = sum(x != y and not (x == "A" and y == "a") for x, y in zip(map(_class, longest), map(_class, longest[1:])))
+    vowels, of = sum(c in _VOWELS for c in longest), sum(c.isalpha() for c in longest)
+    mixed = sum(not (x.isdigit() or x.isalpha()) for x in parts)
+    out += [f"parts={min(4, len(parts))}", f"longest={min(6, len(longest).bit_length())}", f"turns={min(4, 10 * turns // max(1, len(longest)))}", f"vowels={min(3, 8 * vowels // of) if of >= 4 else 4}", f"mixed={min(2, mixed)}/{min(2, len(parts))}", f"slashes={min(2, core.count('/'))}"]
+    if len(longest) >= 16:
+        out.append(f"long:turns={min(4, 10 * turns // len(longest))}")
+    if _UUID.search(core):
+        out.append("uuid")
     return tuple(out)
 
 
+_remembered = lru_cache(maxsize=50_000)(_own)
+
+
 #: Words with a weight of their own; others count by their make.
-KEYWORDS = frozenset("password passwd secret token api_key apikey auth access_key client_secret private_key credential bearer pwd key authorization basic x-api-key the a of note".split())
+KEYWORDS = frozenset("password passwd passphrase secret token api_key apikey auth access_key client_secret private_key credential credentials bearer pwd key authorization basic x-api-key base64 commit sha1 sha256 md5 integrity id uuid the a of note".split())
 
 
 def word(token: str) -> str:
@@ -114,71 +147,137 @@ def features(tokens: list[str], i: int, of_file: tuple[str, ...]) -> list[str]:
     return out
 
 
-_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "private_key", "credential", "bearer", "pwd")
-_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-
-
-def _secret(r: random.Random) -> str:
-    kind = r.randrange(7)
-    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
-    if kind == 0:
-        return pick("0123456789abcdef", r.choice((24, 32, 40, 64)))
-    if kind == 1:
-        return "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
-    if kind == 2:
-        return r.choice(("ghp_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "AIza")) + pick(_ALNUM, r.randint(20, 40))
-    if kind == 3:
-        return "eyJ" + pick(_ALNUM, 20) + "." + pick(_ALNUM + "_-", 40) + "." + pick(_ALNUM + "_-", 30)
-    if kind == 4:
-        return pick(_ALNUM + "+/", r.choice((32, 40, 44))) + "=" * r.randrange(3)
-    return pick(_ALNUM, r.randint(20, 48))
-
-
-def _prose(r: random.Random) -> str:
-    kind = r.randrange(40)
-    syllable = lambda: r.choice(("an", "the", "re", "tion", "er", "ou", "st", "in", "es", "or", "ing", "ver", "sch", "que", "ment", "ción", "é", "ü", "lly"))
-    w = "".join(syllable() for _ in range(r.choice((1, 1, 2, 2, 3, 4, 5, 8))))
-    if kind < 28:
-        return w + r.choice(("", "", "", "", ",", "."))
-    if kind < 31:
-        return w.capitalize()
-    if kind < 32:
-        return w.upper() + "!!"
-    if kind < 33:
-        return w + r.choice(("###", "%%%", "***", "$$$", "&&&", "###"))
-    pick = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    return (
-        lambda: f"{w}.{pick(2)}@mail{pick(1)}.example.com", lambda: f"+1 ({pick(3)}) 555-{pick(4)}", lambda: pick(r.randint(12, 19)), lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
-        lambda: f"http://{w}.example.com/{w}/{pick(3)}?page={pick(1)}", lambda: f"{pick(4)}-{pick(2)}-{pick(2)}", lambda: r.choice(_KEYS), lambda: w * r.randint(4, 12),
-    )[r.randrange(8)]()
-
-
-def training_sentences(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "auth", "access_key", "client_secret", "private_key", "credential", "bearer", "pwd", "passphrase")
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ALNUM = _UPPER + _LOWER + _DIGITS
+_SYLLABLES = ("an", "the", "re", "tion", "er", "ou", "st", "in", "es", "or", "ing", "ver", "sch", "que", "ment", "ción", "é", "ü", "lly", "ka", "to", "mi", "lo", "ben", "dar", "ex", "po", "ul", "gra", "sel")
+
+
+class _Writer:
+    """Invented texts from one seeded source."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def pick(self, chars: str, n: int) -> str:
+        return "".join(self.r.choice(chars) for _ in range(n))
+
+    def word(self, ascii_only: bool = False) -> str:
+        while True:
+            w = "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4, 5))))
+            if not ascii_only or w.isascii():
+                return w
+
+    def name(self, join: str, least: int = 2, most: int = 4, title: bool = False) -> str:
+        words = [self.word(True) for _ in range(self.r.randint(least, most))]
+        return join.join(w.capitalize() if title else w for w in words)
+
+    def uuid(self) -> str:
+        return "-".join(self.pick(_DIGITS + "abcdef", n) for n in (8, 4, 4, 4, 12))
+
+    def key(self) -> str:
+        """A random key of some service's make."""
+        r = self.r
+        return r.choice((
+            lambda: self.pick(_DIGITS + "abcdef", r.choice((24, 32, 40, 64))), lambda: "AKIA" + self.pick(_UPPER + "234567", 16),
+            lambda: r.choice(("ghp_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "AIza", "sk-", "hf_")) + self.pick(_ALNUM, r.randint(20, 40)),
+            lambda: "eyJ" + self.pick(_ALNUM, r.randint(15, 30)) + "." + self.pick(_ALNUM + "_-", r.randint(30, 60)) + "." + self.pick(_ALNUM + "_-", r.randint(25, 43)),
+            lambda: self.pick(_ALNUM + "+/", r.choice((32, 40, 44, 64))) + "=" * r.randrange(3), lambda: self.pick(_ALNUM, r.randint(20, 48)), lambda: self.pick(_ALNUM, r.randint(16, 32)),
+            lambda: "-".join(self.pick(_UPPER + _DIGITS, r.choice((5, 6, 8))) for _ in range(r.randint(4, 5))),
+        ))()
+
+    def choice_of_user(self) -> str:
+        """A password that someone made up: it shows by what stands before it."""
+        r = self.r
+        return r.choice((
+            lambda: self.word(True) + self.pick(_DIGITS, r.randint(1, 4)), lambda: self.word(True).capitalize() + self.pick(_DIGITS, r.randint(2, 4)), lambda: self.pick(_ALNUM, r.randint(6, 12)),
+            lambda: self.name("-", 3, 4), lambda: self.name("_", 2, 3) + self.pick(_DIGITS, 2), lambda: "".join(c if r.random() < 0.7 else r.choice(_DIGITS) for c in self.word(True).capitalize() + self.word(True)),
+        ))()
+
+    def lookalike(self) -> str:
+        """What a tagger could take for a key."""
+        r, w = self.r, self.word
+        host = lambda: r.choice(("", "www.", "api.", "docs.")) + self.name("-", 1, 2) + r.choice((".com", ".org", ".example.com", ".io", ".net"))
+        path = lambda: "/".join(r.choice((self.name("-", 1, 3), self.name("_", 1, 3), w(True), self.pick(_DIGITS, r.randint(1, 6)), self.name("", 1, 2, True))) for _ in range(r.randint(1, 6)))
+        return r.choice((
+            self.uuid, lambda: r.choice(("id", "uuid", "commit", "run", "request", "trace_id")) + r.choice((" ", ": ", "=", " = ")) + self.uuid(),
+            lambda: f"{r.choice(('http', 'https', 'ftp'))}://{host()}/{path()}" + r.choice(("", f"?{w(True)}={self.pick(_DIGITS, 2)}", f"#L{self.pick(_DIGITS, 3)}", ".html", f"/{self.pick(_DIGITS + 'abcdef', 7)}")),
+            lambda: f"https://{host()}/{w(True)}/{self.name('-', 1, 3)}/{r.choice(('blob', 'tree', 'commit', 'raw'))}/{r.choice(('main', 'master', self.pick(_DIGITS + 'abcdef', 10)))}/{path()}.{r.choice(('java', 'py', 'md', 'rs', 'go'))}",
+            lambda: "/" + path() + f"/part-{self.pick(_DIGITS, 5)}-{self.uuid()}-c000.snappy.parquet", lambda: "/" + path() + r.choice((".py", ".txt", ".parquet", ".log", "/", ".tar.gz")), lambda: path() + r.choice((".csv", ".json", ".h5")),
+            lambda: ".".join((r.choice(("org", "com", "java", "net")), *(w(True) for _ in range(r.randint(1, 4))), self.name("", 1, 4, True))), lambda: self.name("", 2, 5, True), lambda: w(True) + self.name("", 1, 4, True), lambda: self.name("_", 2, 6), lambda: self.name("_", 2, 5).upper(), lambda: self.name("-", 2, 6),
+            lambda: self.name("", 1, 3, True) + self.pick(_DIGITS, r.randint(1, 3)), lambda: w(True) + self.pick(_DIGITS, r.randint(1, 4)) + "_" + w(True), lambda: f"v{r.randrange(9)}.{r.randrange(30)}.{r.randrange(99)}" + r.choice(("", f"-rc{r.randrange(9)}", f"-beta.{r.randrange(20)}+build.{self.pick(_DIGITS, 4)}")),
+            lambda: f"20{self.pick(_DIGITS, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}" + r.choice(("", f"T1{self.pick(_DIGITS, 1)}:{r.randint(10, 59)}:{r.randint(10, 59)}.{self.pick(_DIGITS, 3)}Z", f"T0{self.pick(_DIGITS, 1)}-{r.randint(10, 59)}-{r.randint(10, 59)}")),
+            lambda: f"{w(True)}.{self.pick(_DIGITS, r.randint(1, 3))}@{host()}", lambda: f"{self.name('.', 1, 3)}{self.pick(_DIGITS, r.randrange(3))}@{host()}", lambda: f"+{r.randint(1, 99)} ({self.pick(_DIGITS, 3)}) {self.pick(_DIGITS, 3)}-{self.pick(_DIGITS, 4)}", lambda: self.pick(_DIGITS, r.randint(5, 20)), lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+            lambda: "-".join(self.pick(_DIGITS, n) for n in r.choice(((3, 4, 4), (4, 4, 4, 4), (3, 1, 2, 6, 1)))), lambda: ":".join(self.pick(_DIGITS + "abcdef", 2) for _ in range(6)), lambda: "0x" + self.pick(_DIGITS + "abcdef", r.choice((2, 4, 8, 12))), lambda: "#" + self.pick(_DIGITS + "ABCDEF", 6), lambda: self.pick(_DIGITS + "abcdef", r.choice((7, 8, 10))),
+            lambda: f"data:image/{r.choice(('png', 'gif', 'jpeg'))};base64,{self.pick(_ALNUM + '+/', r.randint(30, 200))}" + "=" * r.randrange(3), lambda: r.choice(("sha1", "sha256", "md5", "integrity")) + r.choice((": ", "=", " ")) + self.pick(_ALNUM + "+/", 44) + "=",
+            lambda: f"{self.pick(_UPPER, r.randint(1, 3))}-{self.pick(_DIGITS, r.randint(2, 5))}" + r.choice(("", f"-{self.pick(_UPPER, 1)}", f"/{self.pick(_DIGITS, 2)}")), lambda: self.pick(_UPPER, r.randint(2, 8)), lambda: self.pick("ACGT", r.randint(12, 60)), lambda: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(r.randint(2, 40))),
+            lambda: f"{w()}({self.word()}, {self.pick(_DIGITS, 1)})", lambda: f"{w(True)} = {w(True)}[{self.pick(_DIGITS, 2)}] + {self.pick(_DIGITS, 3)}", lambda: w() * r.randint(4, 12), lambda: f"{self.pick(_DIGITS, 1)}.{self.pick(_DIGITS, 4)}e-{self.pick(_DIGITS, 1)}", lambda: f"${self.pick(_DIGITS, 3)},{self.pick(_DIGITS, 3)}.{self.pick(_DIGITS, 2)}",
+        ))()
+
+    def prose(self) -> str:
+        kind, w = self.r.randrange(40), self.word()
+        if kind < 28:
+            return w + self.r.choice(("", "", "", "", ",", "."))
+        if kind < 31:
+            return w.capitalize()
+        if kind < 32:
+            return w.upper() + self.r.choice(("!!", "", "?"))
+        if kind < 33:
+            return w + self.r.choice(("###", "%%%", "***", "$$$", "&&&", "..."))
+        return self.lookalike()
+
+    def no_secret(self) -> str:
+        """Keywords that no secret follows."""
+        r, key = self.r, self.r.choice(_KEYS + ("key", "id", "basic"))
+        return r.choice((
+            lambda: f"{key} {r.choice(('is', 'must be', 'was', 'has to be', 'should', 'can', 'will', 'for', 'of', 'and', 'or', 'in'))} {self.word()} ", lambda: f"the {key} {self.word()} ", lambda: f"{self.word()} {key}. ", lambda: f"{key}s ", lambda: f"a {key}: {self.word()} {self.word()} ", lambda: f"{key}, {self.word()} ",
+            lambda: f"{r.choice(('the', 'a', 'of', 'key', 'note', self.word()))}{r.choice((': ', ' = ', ':', '='))}{self.prose()} ", lambda: f"{self.word(True)}={self.lookalike()} ", lambda: f"{self.word(True)}: {self.lookalike()} ", lambda: f"{key}={r.choice(('None', 'null', 'true', 'false', '***', '<' + self.word(True) + '>', '${' + self.word(True) + '}'))} ",
+        ))()
+
+
+def training_sentences(n: int = 1300, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts of invented words with the places of the secrets in them."""
-    r, out = random.Random(seed), []
+    write, out = _Writer(seed), []
+    r = write.r
     for _ in range(n):
         text, spans = "", []
-        for _ in range(r.randint(6, 16)):
-            text += _prose(r) + r.choice((" ", " ", " ", " ", "\n"))
-        if r.random() < 0.65:
-            form = r.randrange(5)
-            if form < 2:
-                text += r.choice(_KEYS) + r.choice(("=", ": ", " = ", ":", '": "', " = '"))
-            elif form == 2:
-                text += r.choice(("Authorization: Bearer ", "Bearer ", "key ", "Basic ", "X-Api-Key: "))
-            s = _secret(r)
-            spans.append((len(text), len(text) + len(s)))
-            text += s
-            if form == 4:
-                s = _secret(r)
+
+        def put(secret: str) -> None:
+            nonlocal text
+            spans.append((len(text), len(text) + len(secret)))
+            text += secret
+
+        for _ in range(r.randint(4, 14)):
+            text += write.prose() + r.choice((" ", " ", " ", " ", "\n"))
+        kind = r.random()
+        if kind < 0.18:
+            text += r.choice(_KEYS) + r.choice(("=", ": ", " = ", ":", '": "', " = '", "=\""))
+            put(write.key() if r.random() < 0.6 else write.choice_of_user())
+        elif kind < 0.26:
+            text += r.choice(("Authorization: Bearer ", "Bearer ", "key ", "Basic ", "X-Api-Key: ", "Authorization: Basic "))
+            put(write.key())
+        elif kind < 0.36:
+            put(write.key())
+        elif kind < 0.44:
+            text += r.choice(("password", "passwd", "pwd", "passphrase", "secret", "token")) + r.choice((" is ", " was ", " is: ", " = ", ": ", " is '", ' is "', " is now "))
+            secret = write.choice_of_user() if r.random() < 0.8 else write.key()
+            put(secret if any(c.isdigit() or c in "-_" for c in secret) else secret + "9")
+        elif kind < 0.52:
+            text += f"{r.choice(('postgres', 'postgresql', 'mysql', 'redis', 'amqp', 'mongodb', 'https', 'ftp', 'jdbc:mysql'))}://{write.word(True)}:"
+            put(write.choice_of_user() if r.random() < 0.6 else write.pick(_ALNUM, r.randint(8, 24)))
+            text += f"@{write.name('-', 1, 2)}{r.choice(('.com', '.internal', ':5432', '.example.com:3306', ''))}/{write.word(True)}"
+        elif kind < 0.56:
+            text += f"-----BEGIN {r.choice(('', 'RSA ', 'EC ', 'OPENSSH '))}PRIVATE KEY-----\n"
+            for _ in range(r.randint(2, 4)):
+                put(write.pick(_ALNUM + "+/", r.choice((64, 64, 76))))
                 text += "\n"
-                spans[-1] = (spans[-1][0], len(text) + len(s))
-                text += s
-            text += r.choice((" ", '" ', "'\n", "### ", ", "))
-        elif r.random() < 0.4:
-            text += r.choice(("the", "a", "of", "key", "note")) + r.choice((": ", " = ", ":")) + _prose(r) + " "
+            text += "-----END PRIVATE KEY-----"
+        else:
+            for _ in range(r.randint(0, 3)):
+                text += write.no_secret()
+        text += r.choice((" ", " ", "\n", ". ", ", ")) if not spans else r.choice((" ", '" ', "'\n", "### ", ", ", "\n", "! ", ". "))
         for _ in range(r.randint(2, 10)):
-            text += _prose(r) + " "
+            text += write.prose() + " "
         out.append((text, spans))
     return out
 
@@ -214,7 +313,7 @@ class Tagger:
             known = self._calm_word(chunk)
             if known is None:
                 known = self._test(chunk)
-            if len(chunk) <= 48:
+            if len(chunk) <= CACHE_CHARS:
                 if len(self.edge) > CACHE_CHUNKS:
                     self.edge.clear()
                 self.edge[chunk] = known
@@ -321,7 +420,7 @@ def _adopt(weights, trans, start) -> Tagger:
 
 
 @lru_cache(maxsize=1)
-def trained(rounds: int = 60, penalty: float = 0.02, least: int = 6) -> Tagger:
+def trained(rounds: int = 70, penalty: float = 0.02, least: int = 4) -> Tagger:
     """Maximum likelihood by forward-backward over all sentences at once, AdaGrad steps, L2 penalty.
 
     Features seen fewer than ``least`` times have no weight.
