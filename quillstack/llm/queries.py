@@ -23,7 +23,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no explicit calls: a user's turn calls for the reply that follows it."""
+    """The table has no explicit calls: a user's turn calls for the reply that follows it, and cites the user's turn before."""
     return toolcalls.link(table(spark, sf_dir, "conversations"), implied=True)
 
 
@@ -62,15 +62,18 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op4_
 SQL: dict[str, str] = {}
 
 SQL["op4_tool_calls"] = """
-WITH c AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS key FROM conversations),
+WITH RECURSIVE u AS (SELECT DISTINCT conv_id, turn, NOT starts_with(coalesce(text, ''), '{') AS plain FROM conversations WHERE role = 'user'),
+f AS (SELECT DISTINCT x.conv_id, x.turn FROM u x JOIN u y ON x.conv_id = y.conv_id AND x.turn = y.turn + 2 AND y.plain),
+v AS (SELECT conv_id, turn, 0 AS level FROM u ANTI JOIN f USING (conv_id, turn) UNION ALL SELECT f.conv_id, f.turn, v.level + 1 FROM v JOIN f ON v.conv_id = f.conv_id AND f.turn = v.turn + 2),
+c AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS key FROM conversations),
 i AS (SELECT conv_id, key, min(turn) FILTER (kind = 'call') AS call_turn, min(turn) FILTER (kind = 'result') AS result_turn, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results FROM c WHERE key IS NOT NULL GROUP BY ALL)
 SELECT c.conv_id, c.turn, 0 AS part, c.role, kind, 't' || c.key AS call_id, CASE WHEN kind = 'call' THEN 'reply' END AS tool,
 CASE kind WHEN 'call' THEN result_turn IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL END AS linked, CASE kind WHEN 'call' THEN result_turn WHEN 'result' THEN call_turn END AS partner_turn,
-CASE WHEN kind = 'call' THEN 0 END AS level, coalesce(CASE WHEN kind = 'result' THEN call_turn END, turn) AS sort_turn, CASE kind WHEN 'result' THEN 2 WHEN 'call' THEN 1 ELSE 0 END AS sort_rank, CASE WHEN kind = 'call' THEN text <> '' END AS valid,
+v.level, coalesce(CASE WHEN kind = 'result' THEN call_turn END, c.turn) AS sort_turn, CASE kind WHEN 'result' THEN 2 WHEN 'call' THEN 1 ELSE 0 END AS sort_rank, CASE WHEN kind = 'call' THEN text <> '' END AS valid,
 nullif(concat_ws('; ', CASE WHEN kind = 'call' AND text = '' THEN '$.text: minLength' END, CASE WHEN kind = 'call' AND calls > 1 OR kind = 'result' AND results > 1 THEN 'duplicate id' END, CASE WHEN kind = 'result' AND call_turn IS NULL THEN 'no call' END,
 CASE WHEN kind = 'call' AND result_turn IS NULL THEN 'no result' END), '') AS problem,
-CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || '},"id":"t' || c.key || '","name":"reply"}' WHEN 'result' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"t' || c.key || '"}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
-FROM c LEFT JOIN i ON c.conv_id = i.conv_id AND c.key = i.key
+CASE kind WHEN 'call' THEN '{"arguments":{' || CASE WHEN f.turn IS NULL THEN '' ELSE '"after":{"$ref":"t' || (c.turn - 2) || '"},' END || '"text":' || to_json(text) || '},"id":"t' || c.key || '","name":"reply"}' WHEN 'result' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"t' || c.key || '"}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+FROM c LEFT JOIN i ON c.conv_id = i.conv_id AND c.key = i.key LEFT JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn AND kind = 'call' LEFT JOIN v ON c.conv_id = v.conv_id AND c.turn = v.turn AND kind = 'call'
 """
 
 SQL["op6_sketch_dedup"] = r"""

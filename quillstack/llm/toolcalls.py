@@ -12,19 +12,22 @@ call, and ``level`` is the length of the longest chain of citations below a call
 conversation, however long, is gathered or numbered in one task.
 
 With ``implied`` a transcript without explicit calls is read as calls of the tool ``reply``: a user's turn
-calls it with its text, and the next turn, if an assistant's, is the result.
+calls it with its text, and the next turn, if an assistant's, is the result. A follow-up cites the call before
+it (``after``): the user's turn two turns earlier, unless that begins with a brace and so may be JSON.
 
 Defined results: a null text is an empty message; a null role is ``unknown``; a row without conversation or
 turn is kept and never linked; of several calls or results with one identifier the smallest turn counts and
 ``problem`` says ``duplicate id`` on all; calls that cite each other in a circle, or an unknown call, have
-level null and say so; broken JSON is a plain message; extra columns are ignored; an empty table gives no rows.
+level null and say so; broken JSON, or one nested deeper than ``DEPTH``, is a plain message, and as arguments it is
+the text that it is; lone surrogates stay escaped; repeated rows each keep a row and count as duplicates; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,25 +35,67 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
 
-REPLY = {"type": "object", "properties": {"text": {"type": "string", "minLength": 1}}, "required": ["text"], "additionalProperties": False}
+REPLY = {"type": "object", "properties": {"text": {"type": "string", "minLength": 1}, "after": {"type": "object"}}, "required": ["text"], "additionalProperties": False}
 #: Of two short identifiers each: what is left of the citations is followed on the driver once it is no more.
 LOCAL_CITES = 50_000
+#: Levels of nesting up to which a text counts as JSON.
+DEPTH = 200
+#: More than any level; in circles lengths grow without meaning.
+_ENDLESS = 1 << 40
 
 PARTS = "conv_id long, turn long, part int, role string, kind string, call_id string, tool string, cites array<string>, valid boolean, problem string, json string"
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def _plain(value):
-    """Numbers as canonical JSON writes them."""
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return int(value)
-    if isinstance(value, dict):
-        return {k: _plain(value[k]) for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))}
-    return [_plain(x) for x in value] if isinstance(value, list) else value
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _escaped(text: str) -> str:
+    """Lone surrogates as JSON escapes; UTF-8 has no form for them."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _number(x) -> str:
+    """As ECMAScript writes it: integers below 1e21 in full, and no padded exponents."""
+    if isinstance(x, int) or x.is_integer() and abs(x) < 1e21:
+        return str(int(x))
+    mantissa, _, exponent = repr(x).partition("e")
+    if not exponent:
+        return mantissa
+    if int(exponent) < -6:
+        return f"{mantissa}e{int(exponent)}"
+    if int(exponent) > 0:
+        return f"{mantissa}e+{int(exponent)}"
+    return "-" * (x < 0) + "0." + "0" * (-int(exponent) - 1) + mantissa.lstrip("-").replace(".", "")
 
 
 def canonical(value) -> str:
-    return json.dumps(_plain(value), separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Sorted keys (by UTF-16 units), no spaces, shortest numbers."""
+    if isinstance(value, str):
+        return _escaped(json.dumps(value, ensure_ascii=False))
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    return json.dumps(value) if value is None or isinstance(value, bool) else _number(value)
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _loaded(text: str):
+    """The value of a JSON text; ValueError where it is none, is nested too deep, or has a number that JSON has not."""
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=lambda x: y if abs(y := float(x)) < float("inf") else _refuse(x))
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("nested too deep")
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -105,15 +150,15 @@ def _call(name, arguments, schemas: dict) -> tuple[bool, str | None]:
     return not found, "; ".join(found) or None
 
 
-def parse(conv_id, turn, role, text, schemas: dict, implied: bool) -> list[dict]:
+def parse(conv_id, turn, role, text, schemas: dict, implied: bool, follows: bool = False) -> list[dict]:
     """The rows of one message."""
     role, text = role or "unknown", text or ""
     row = lambda part, kind, body, **more: {"conv_id": conv_id, "turn": turn, "part": part, "role": role, "kind": kind, "call_id": None, "tool": None, "cites": [], "valid": None, "problem": None, "json": canonical(body)} | more
+    name_of = lambda x: None if x is None else _escaped(x if isinstance(x, str) else canonical(x))
     value = None
     if text[:1] == "{":
         try:
-            value = json.loads(text)
-            canonical(value)
+            value = _loaded(text)
         except ValueError:
             value = None
     calls = value.get("tool_calls") if isinstance(value, dict) else None
@@ -123,39 +168,40 @@ def parse(conv_id, turn, role, text, schemas: dict, implied: bool) -> list[dict]
             arguments = c.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
+                    arguments = _loaded(arguments)
                 except ValueError:
                     pass
             name = c.get("name") if isinstance(c.get("name"), str) else None
             valid, problem = _call(name, arguments, schemas)
-            key = None if c.get("id") is None else str(c["id"])
-            out.append(row(k + 1, "call", {"id": key, "name": name, "arguments": arguments}, call_id=key, tool=name, cites=sorted(set(_cited(arguments))), valid=valid, problem=problem if key else "no id"))
+            key = name_of(c.get("id"))
+            out.append(row(k + 1, "call", {"id": c.get("id"), "name": name, "arguments": arguments}, call_id=key, tool=name_of(name), cites=sorted({_escaped(x) for x in _cited(arguments)}), valid=valid, problem=problem if key else "no id"))
         return out
     if isinstance(value, dict) and "tool_call_id" in value:
-        key = None if value["tool_call_id"] is None else str(value["tool_call_id"])
-        return [row(0, "result", {"role": role, "tool_call_id": key, "content": value.get("content")}, call_id=key, problem=None if key else "no id")]
+        key = name_of(value["tool_call_id"])
+        return [row(0, "result", {"role": role, "tool_call_id": value["tool_call_id"], "content": value.get("content")}, call_id=key, problem=None if key else "no id")]
     if implied and turn is not None and conv_id is not None:
         if role == "user":
-            arguments = {"text": text}
+            arguments = {"text": text} | ({"after": {"$ref": f"t{turn - 2}"}} if follows else {})
             valid, problem = _call("reply", arguments, schemas)
-            return [row(0, "call", {"id": f"t{turn}", "name": "reply", "arguments": arguments}, call_id=f"t{turn}", tool="reply", valid=valid, problem=problem)]
+            return [row(0, "call", {"id": f"t{turn}", "name": "reply", "arguments": arguments}, call_id=f"t{turn}", tool="reply", cites=_cited(arguments), valid=valid, problem=problem)]
         if role == "assistant":
             return [row(0, "result", {"role": role, "tool_call_id": f"t{turn - 1}", "content": text}, call_id=f"t{turn - 1}")]
     return [row(0, "message", {"role": role, "content": text})]
 
 
 def _chains(edges: list) -> list[tuple[int, str, int]]:
-    """(conv_id, call_id, level) of the calls whose citations all resolve; an edge is (conv_id, call_id, of, level of what it cites, if known)."""
+    """(conv_id, call_id, level) of the calls whose citations all resolve; an edge as in ``_levels``."""
     level, waits, citing = defaultdict(int), defaultdict(int), defaultdict(list)
-    for conv, call, of, known in edges:
-        if known is None:
+    for conv, call, of, add, floor in edges:
+        if of is not None:
             waits[conv, call] += 1
-            citing[conv, of].append((conv, call))
-        level[conv, call] = max(level[conv, call], 1 + (known or 0))
+            citing[conv, of].append((conv, call, add))
+        level[conv, call] = max(level[conv, call], floor)
     ready = [call for call in level if not waits[call]]
     for call in ready:  # grows while it is read
-        for above in citing[call]:
-            level[above] = max(level[above], level[call] + 1)
+        for conv, name, add in citing[call]:
+            above = conv, name
+            level[above] = max(level[above], level[call] + add)
             waits[above] -= 1
             if not waits[above]:
                 ready.append(above)
@@ -165,28 +211,37 @@ def _chains(edges: list) -> list[tuple[int, str, int]]:
 def _levels(parts: DataFrame) -> DataFrame | None:
     """conv_id, call_id, level of the calls that cite or are cited; None where no call cites any.
 
-    Each round resolves the calls whose citations are all resolved, until a round resolves none: what is left then is
-    a circle, an unknown call, or cites one. As soon as few citations are left, one pass over them ends it.
+    An edge (call, of, add, floor) says that the call's level is at least ``floor``, and ``add`` more than that of ``of``.
+    Each round resolves the calls whose edges are all resolved, until a round resolves none: what is left then is a
+    circle, an unknown call, or cites one. Between rounds, edges to calls that have one open edge themselves skip those,
+    so that a chain of citations takes as many rounds as its length has binary digits. As soon as few edges are left,
+    one pass over them ends it.
     """
     cites = parts.where("kind = 'call' and call_id is not null and conv_id is not null").select("conv_id", "call_id", F.explode("cites").alias("of")).distinct()
     if cites.isEmpty():
         return None
     cites = materialize(cites, "cites")
-    calls = parts.where("kind = 'call' and conv_id is not null").select("conv_id", "call_id").distinct()
-    known = materialize(calls.join(cites.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    cited = lambda resolved: resolved.select("conv_id", F.col("call_id").alias("of"), F.col("level").alias("found"))
-    edges = materialize(cites.join(cited(known), ["conv_id", "of"], "left").select("conv_id", "call_id", "of", F.col("found").alias("level")), "edges")
-    for n in count(1):
+    calls, pair = parts.where("kind = 'call' and conv_id is not null").select("conv_id", "call_id").distinct(), ["conv_id", "call_id"]
+    known = ready = materialize(calls.join(cites.select(*pair), pair, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    edges, n = cites.withColumns({"add": F.lit(1).cast("long"), "floor": F.lit(0).cast("long")}), 0
+    bounded = lambda x: F.least(x, F.lit(_ENDLESS))
+    while True:
+        found = ready.select("conv_id", F.col("call_id").alias("of"), F.col("level").alias("found"))
+        resolved = F.greatest("floor", F.coalesce(F.col("found") + F.col("add"), F.lit(0)))
+        edges = materialize(edges.join(found, ["conv_id", "of"], "left").select(*pair, F.when(F.col("found").isNull(), F.col("of")).alias("of"), "add", resolved.alias("floor")), "edges")
         if edges.limit(LOCAL_CITES + 1).count() <= LOCAL_CITES:
-            return known.unionByName(parts.sparkSession.createDataFrame(_chains(edges.collect()), "conv_id long, call_id string, level int"))
-        ready = materialize(edges.groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("waits")).where("waits = 0").drop("waits"), "levels")
+            return known.unionByName(parts.sparkSession.createDataFrame(_chains(edges.collect()), "conv_id long, call_id string, level long"))
+        state = edges.groupBy(*pair).agg(F.count("of").alias("waits"), F.max("of").alias("next"), F.max(F.when(F.col("of").isNotNull(), F.col("add"))).alias("more"), F.max("floor").alias("least"))
+        state = materialize(state, "states")
+        ready = state.where("waits = 0").select(*pair, F.col("least").alias("level"))
         if ready.isEmpty():
             return known
-        known = known.unionByName(ready)
+        known, n = known.unionByName(ready), n + 1
         if n % 16 == 0:
             known = materialize(known, "levels")  # or the plan grows with the depth
-        rest = edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        edges = materialize(rest.join(cited(ready), ["conv_id", "of"], "left").select("conv_id", "call_id", "of", F.coalesce("level", "found").alias("level")), "edges")
+        one = state.where("waits = 1").select("conv_id", F.col("call_id").alias("of"), "next", "more", "least")
+        edges = edges.join(ready.select(*pair), pair, "left_anti").join(one, ["conv_id", "of"], "left")
+        edges = edges.select(*pair, F.coalesce("next", "of").alias("of"), bounded(F.col("add") + F.coalesce("more", F.lit(0))).alias("add"), bounded(F.greatest("floor", F.coalesce(F.col("add") + F.col("least"), F.lit(0)))).alias("floor"))
 
 
 def link(messages: DataFrame, schemas: dict | None = None, implied: bool = False) -> DataFrame:
@@ -196,11 +251,17 @@ def link(messages: DataFrame, schemas: dict | None = None, implied: bool = False
 
     def run(batches):
         for batch in batches:
-            rows = [x for m in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) for x in parse(*m, schemas, implied)]
+            rows = [x for *m, follows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True) for x in parse(*m, schemas, implied, follows)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("call_id", pa.string()), ("tool", pa.string()), ("cites", pa.list_(pa.string())), ("valid", pa.bool_()), ("problem", pa.string()), ("json", pa.string())])
-    parts = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, PARTS)
+    messages = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    if implied:
+        before = messages.where("role = 'user' and not startswith(coalesce(text, ''), '{')").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
+        messages = messages.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", F.coalesce("follows", F.lit(False)).alias("follows"))
+    else:
+        messages = messages.withColumn("follows", F.lit(False))
+    parts = messages.mapInArrow(run, PARTS)
     parts = materialize(parts, "parts")
 
     keyed = parts.where("call_id is not null and conv_id is not null and turn is not null and kind <> 'message'")
@@ -210,7 +271,7 @@ def link(messages: DataFrame, schemas: dict | None = None, implied: bool = False
     )
     out = parts.join(ids, ["conv_id", "call_id"], "left")
     levels = _levels(parts)
-    out = out.withColumn("level", F.when(F.col("kind") == "call", F.lit(0))) if levels is None else out.join(levels, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("kind") == "call", F.coalesce("level", F.when(F.size("cites") == 0, 0))))
+    out = out.withColumn("level", F.when(F.col("kind") == "call", F.lit(0).cast("long"))) if levels is None else out.join(levels, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("kind") == "call", F.coalesce("level", F.when(F.size("cites") == 0, F.lit(0).cast("long")))))
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     partner = F.when(call, F.col("result_turn")).when(result, F.col("call_turn"))
     twice = F.when(call, F.col("calls") > 1).when(result, F.col("results") > 1)
