@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 
 def base_name(path: Column) -> Column:
-    """The last part of a path without its extension."""
-    last = F.element_at(F.split(path, "/"), -1)
-    return F.regexp_replace(last, r"(?<=[^.])\.[^.]*$", "")
+    """The last part of a path without its extension; dots that the name begins with are none."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def safe_name(path: Column) -> Column:
@@ -24,9 +23,10 @@ def _title(texts: pa.Array) -> pa.Array:
 
 
 def title_case(x: Column) -> Column:
-    """A capital after every character that is no letter; initcap knows spaces only, so other texts go to Python."""
-    simple = x.rlike("^[A-Za-z ]*$")
-    return F.when(simple, F.initcap(x)).otherwise(F.arrow_udf(_title, "string")(F.when(~simple, x)))
+    """A capital after every character that is no letter; initcap knows spaces only, so a text is cut at them, and one that is not ASCII goes to Python."""
+    simple = x.rlike(r"^[\x00-\x7F]*$")
+    words = F.transform(F.regexp_extract_all(x, F.lit("[A-Za-z]+|[^A-Za-z]+"), 0), F.initcap)
+    return F.when(simple, F.array_join(words, "")).otherwise(F.arrow_udf(_title, "string")(F.when(~simple, x)))
 
 
 def display_name(path: Column) -> Column:

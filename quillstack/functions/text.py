@@ -24,6 +24,7 @@ CITATIONS = (
     r"\([A-Z][A-Za-z]+\s+et al\.,\s*\d{4}\)",
 )
 
+# Fixed value: what counts as a symbol.
 WEIRD = r"""[^A-Za-z0-9\s,.?!;:()\[\]{}"']"""
 TOKEN = r"""[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*|[,.?!;:()\[\]{}"]|\n"""
 WORD = r"[\p{L}\p{N}]+"
@@ -55,10 +56,11 @@ def _fold_many(texts: pa.Array) -> pa.Array:
 def fold_ascii(x: Column) -> Column:
     """Compatibility decomposition without what is not ASCII.
 
-    One-to-one folds are a ``translate``. Only texts with a character that unfolds to several reach Python.
+    One-to-one folds are a ``translate``. Only texts with a character that unfolds to several reach Python, which
+    shows by what a second ``translate`` takes out.
     """
     ones, to, many = _folds()
-    rare = x.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]")
+    rare = x.rlike(r"[^\x00-\x7F]") & (F.length(F.translate(x, many, "")) != F.length(x))
     unfolded = F.arrow_udf(_fold_many, "string")(F.when(rare, x))
     return F.when(~x.rlike(r"[^\x00-\x7F]"), x).otherwise(F.coalesce(unfolded, F.regexp_replace(F.translate(x, ones, to), r"[^\x00-\x7F]", "")))
 
@@ -98,8 +100,8 @@ def closers(tokens: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """Words (apostrophes inside them included), punctuation marks and line breaks; open brackets are closed at the end."""
-    found = F.regexp_extract_all(x, F.lit(TOKEN), 0)
-    return F.concat(found, closers(found))
+    # Bound to a name by a lambda, so that the text is matched once for both.
+    return F.get(F.transform(F.array(F.regexp_extract_all(x, F.lit(TOKEN), 0)), lambda found: F.concat(found, closers(found))), F.lit(0))
 
 
 def drop_bad(t: Column) -> Column:

@@ -60,10 +60,10 @@ class _Document:
             yield line.start - at, line.bare, line
 
     def wanted(self, at: int, limit: int):
-        """The first two headings of the wanted kind, as far as a cut within ``limit`` can need them."""
+        """The first two headings of the wanted kind within ``limit``; a cut needs no others."""
         found, total = [], 0
         for offset, bare, line in self.rest(at):
-            if offset > limit and (found or total):
+            if offset > limit:
                 break
             if bare == "":
                 continue

@@ -273,27 +273,15 @@ def chunk_paragraph(spark, d):
 # Chunk keys -----------------------------------------------------------------------------------------------
 
 _KEYS = ("chapter II", "chapter I.1", "chapter I", "chapter I.2", "front front", "chapter One", "chunk", "chunk.1", "chapter 2.10", "chapter 2.2", "page 12", "chapter I.", "chapter IV")
-_KEYED = f"SELECT doc_id // 13 AS doc_id, CAST(doc_id % 13 AS INTEGER) AS seq, ['{_q(chr(7).join(_KEYS)).replace(chr(7), chr(39) + ',' + chr(39))}'][doc_id % 13 + 1] AS chunk_key, substr(text, 1, 60) AS summary FROM documents"
+_KEYED = f"SELECT doc_id // 13 AS doc_id, CAST(doc_id % 13 AS INTEGER) AS seq, ['{_q(chr(7).join(_KEYS)).replace(chr(7), chr(39) + ',' + chr(39))}'][doc_id % 13 + 1] AS chunk_key, text AS summary FROM documents"
 
 
-def _keyed_whole(spark, d) -> DataFrame:
+def _keyed(spark, d) -> DataFrame:
+    """Whole texts stand for summaries."""
     key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("doc_id") % 13 + 1).cast("int"))
     return _docs(spark, d).select(F.floor(F.col("doc_id") / 13).alias("doc_id"), (F.col("doc_id") % 13).cast("int").alias("seq"), key.alias("chunk_key"), F.col("text").alias("summary"))
 
 
-def _keyed(spark, d) -> DataFrame:
-    """As its SQL has it: the first 60 characters stand for a summary."""
-    return _keyed_whole(spark, d).withColumn("summary", F.substring("summary", 1, 60))
-
-
-def _on_whole_texts(f):
-    """Also registers the query with whole texts for summaries, under its name and ``_whole``."""
-    whole = lambda spark, d: f(spark, d, _keyed_whole)
-    whole.__name__ = f"{f.__name__}_whole"
-    query(SQL[f.__name__].replace("substr(text, 1, 60)", "text"))(whole)
-    return f
-
-
 _PARTS = f"""k AS ({_KEYED}), w AS (SELECT *, list_filter(regexp_split_to_array(chunk_key, '\\s+'), lambda x: x <> '') AS ws FROM k), p AS (SELECT *, CASE WHEN len(ws) >= 2 THEN ws[2] ELSE '0' END AS part FROM w),
 z AS (SELECT *, regexp_full_match(part, '\\d+(\\.\\d+)?') AS is_num, regexp_full_match(part, '[IVXLC]+(\\.\\d+)?') AS is_rom FROM p),
 s AS (SELECT *, CASE WHEN is_num THEN CAST(regexp_extract(part, '^\\d+') AS INTEGER) WHEN is_rom THEN list_reduce(list_reverse(string_split(regexp_extract(part, '^[IVXLC]+'), '')), lambda a, c: struct_pack(t := a.t + CASE WHEN v(c) < a.l THEN -v(c) ELSE v(c) END, l := v(c)), struct_pack(t := 0, l := 0)).t ELSE 0 END AS main_number,
@@ -338,10 +326,9 @@ def section_name(spark, d):
     return _keyed(spark, d).select("doc_id", "chunk_key", O.section_name(F.col("chunk_key")).alias("section"))
 
 
-@_on_whole_texts
 @query(f"{_COMBINED} SELECT doc_id, section, seq, n_pieces, md5(text) AS text FROM y")
-def section_combine(spark, d, keyed=_keyed):
-    return R.combine_sections(keyed(spark, d)).withColumn("text", F.md5("text"))
+def section_combine(spark, d):
+    return R.combine_sections(_keyed(spark, d)).withColumn("text", F.md5("text"))
 
 
 @query(f"{_COMBINED} SELECT doc_id, max(n_pieces) > 1 AS multi FROM y GROUP BY doc_id")
@@ -349,10 +336,9 @@ def multi_part(spark, d):
     return R.multi_part(_keyed(spark, d))
 
 
-@_on_whole_texts
 @query(f"WITH k AS ({_KEYED}) SELECT doc_id, md5({_STRIP.format('string_agg(' + _STRIP.format('summary') + ', chr(10) || chr(10) ORDER BY seq)')}) AS text FROM k GROUP BY doc_id")
-def merge_all(spark, d, keyed=_keyed):
-    return R.merge_all(keyed(spark, d)).withColumn("text", F.md5("text"))
+def merge_all(spark, d):
+    return R.merge_all(_keyed(spark, d)).withColumn("text", F.md5("text"))
 
 
 # Around the model -----------------------------------------------------------------------------------------
@@ -396,10 +382,9 @@ def summarize_lead(spark, d):
     return summarise(_docs(spark, d), lambda: Lead(3), SummaryConfig(sentences=3)).select("doc_id", F.md5("summary").alias("summary"))
 
 
-@_on_whole_texts
 @query(f"{_COMBINED} SELECT y.doc_id, y.section AS chunk_key, y.seq, md5(CASE WHEN n_pieces = 1 THEN x.summary ELSE {_lead_sql('y.text', 2)} END) AS summary FROM y JOIN x ON y.doc_id = x.doc_id AND y.seq = x.seq")
-def reduce_sections(spark, d, keyed=_keyed):
-    out, _ = R.reduce_sections(keyed(spark, d), lambda: Lead(2), ReduceConfig(sentences=2))
+def reduce_sections(spark, d):
+    out, _ = R.reduce_sections(_keyed(spark, d), lambda: Lead(2), ReduceConfig(sentences=2))
     return out.select("doc_id", "chunk_key", "seq", F.md5("summary").alias("summary"))
 
 
@@ -437,7 +422,7 @@ def throughput_metrics(spark, d):
 
 # Names and reports ----------------------------------------------------------------------------------------
 
-_BASE = r"regexp_replace(list_last(string_split(url, '/')), '([^.])\.[^.]*$', '\1')"
+_BASE = r"regexp_replace(list_last(string_split(url, '/')), '^(\.*[^.].*)\.[^.]*$', '\1', 's')"
 _SAFE = f"coalesce(nullif(regexp_replace(regexp_replace({_BASE}, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'document')"
 
 
@@ -459,14 +444,12 @@ def display_names(spark, d):
 _BLOCK = f"chunk_key || chr(10) || '{report.RULE}' || chr(10) || summary || chr(10) || chr(10)"
 
 
-@_on_whole_texts
 @query(f"WITH k AS ({_KEYED}) SELECT doc_id, md5(string_agg({_BLOCK}, '' ORDER BY seq)) AS file FROM k GROUP BY doc_id")
-def chunk_files(spark, d, keyed=_keyed):
-    return keyed(spark, d).groupBy("doc_id").agg(F.md5(report.key_blocks("chunk_key", "summary", "seq")).alias("file"))
+def chunk_files(spark, d):
+    return _keyed(spark, d).groupBy("doc_id").agg(F.md5(report.key_blocks("chunk_key", "summary", "seq")).alias("file"))
 
 
-@_on_whole_texts
 @query(f"WITH k AS ({_KEYED}), b AS (SELECT doc_id, string_agg(CASE WHEN seq = 0 THEN '{report.SURVEY}' ELSE 'Item ' || seq END || chr(10) || {_STRIP.format('summary')}, chr(10) || chr(10) ORDER BY seq) AS body FROM k GROUP BY doc_id) SELECT doc_id, md5({_STRIP.format('body')}) AS body FROM b")
-def survey_text(spark, d, keyed=_keyed):
-    keys = keyed(spark, d).withColumn("key", F.when(F.col("seq") == 0, "paper").otherwise(F.concat(F.lit("item "), F.col("seq"))))
+def survey_text(spark, d):
+    keys = _keyed(spark, d).withColumn("key", F.when(F.col("seq") == 0, "paper").otherwise(F.concat(F.lit("item "), F.col("seq"))))
     return keys.groupBy("doc_id").agg(F.md5(report.survey_body("key", "summary", "seq")).alias("body"))

@@ -41,7 +41,7 @@ def survey_text(title: str, author: str, introduction: str, sections: Sections,
 
 def survey_body(key: str = "key", text: str = "text", order: str = "seq") -> Column:
     """``body_text`` as an aggregate over rows of sections."""
-    entry = F.concat(F.when(F.col(key) == "paper", F.lit(SURVEY)).otherwise(F.initcap(F.col(key))), F.lit("\n"), strip(F.col(text)))
+    entry = F.concat(F.when(F.col(key) == "paper", F.lit(SURVEY)).otherwise(title_case(F.col(key))), F.lit("\n"), strip(F.col(text)))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("t"))))
     return strip(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n"))
 
