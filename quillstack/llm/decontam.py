@@ -6,19 +6,22 @@ template tokens are hashed and joined; for every (document, item, alignment) tha
 item is then laid against the document. It is contaminated by the item if a run of at least ``PASSAGE`` consecutive
 template tokens agrees (the whole item, if that is shorter, but for its first token, which may or may not stand
 inside a sentence where it is quoted) and the slots in the run are consistent: equal slot
-values of the item stand for equal values in the document, and different ones for different ones. Every run of an
-alignment is tested, as far as it extends. ``PASSAGE`` consecutive tokens that agree verbatim, slot values included,
-are enough whatever the run around them holds.
+values of the item stand for equal values in the document, and different ones for different ones. Where a slot is
+not consistent with those before it, a new run begins after the slot that it contradicts, so the longest consistent run is
+found wherever it is. ``PASSAGE`` consecutive tokens that agree verbatim, slot values included, are enough whatever
+the run around them holds. Items of at most ``LEAST`` tokens say too little as templates: they are looked up whole and
+verbatim.
 
 Every item window is indexed, but only each ``STRIDE``-th of a document's: a run of PASSAGE tokens holds
 WINDOW-token windows at STRIDE consecutive places, so one of those is looked up and no such run is missed.
-Items shorter than that are looked up whole at every place.
+Items shorter than that are looked up whole at every place. Alignments are laid by document and stretch of
+``STRETCH`` tokens, so a text is split into tokens once for all items that it shares windows with there.
 
 The index of windows is broadcast only while its counted size stays under ``BROADCAST_ROWS``, and so are the
 alignments; beyond, both joins are shuffled, where equal hashes may be split between tasks.
 
-Defined results: a null text is empty and matches nothing; an item without an id or with at most ``LEAST``
-tokens is not searched; a document without an id can't be named and is not reported; rows that repeat a doc_id
+Defined results: a null text is empty and matches nothing; an item without an id or without a token
+is not searched; a document without an id can't be named and is not reported; rows that repeat a doc_id
 or an item_id are reported once under it; very long texts are searched whole; extra columns are ignored; an
 empty table on either side gives no rows.
 """
@@ -33,6 +36,7 @@ from .common import materialize, texts
 PASSAGE, WINDOW = 13, 8
 STRIDE = PASSAGE - WINDOW + 1
 LEAST = 5
+STRETCH = 1024
 #: Of a row of at most three numbers each: a few tens of MB.
 BROADCAST_ROWS = 500_000
 
@@ -68,10 +72,14 @@ def windows(codes: str, size: int, stride: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size, F.lit(stride)), cut))
 
 
-def _laid(words: Column) -> Column:
+def _quoted(words: Column, shift: Column, item_tokens: Column) -> Column:
+    """The document's words at the item's places, null where it has none."""
+    before = F.greatest(-shift, F.lit(0))
+    return F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(words, F.greatest(shift, F.lit(0)) + 1, item_tokens - before))
+
+
+def _laid(quoted: Column) -> Column:
     """For each token of the item: its code and word, the document's word at its place, and whether the codes agree."""
-    before = F.greatest(-F.col("shift"), F.lit(0))
-    quoted = F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(words, F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("item_tokens") - before))
     pair = lambda item, w: F.struct(item["item_codes"].alias("kind"), item["item_words"].alias("of"), w.alias("value"), (w.isNotNull() & (_code(w) == item["item_codes"])).alias("same"))
     return F.zip_with(F.arrays_zip("item_codes", "item_words"), quoted, pair)
 
@@ -79,8 +87,8 @@ def _laid(words: Column) -> Column:
 def _passage(laid: Column) -> Column:
     """struct(run_tokens, n_slots, exact) of the longest passage, null if there is none.
 
-    One pass over the item: ``start`` is where the run of equal codes up to here begins, ``same`` where the verbatim
-    one does; ``slots`` are the run's.
+    One pass over the item: ``start`` is where the run of equal codes and consistent slots up to here begins, ``same`` where
+    the verbatim one does; ``slots`` are the run's. A run is judged where it ends.
     """
     slots_type = "array<struct<at:int,kind:bigint,of:string,value:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("same"), F.array().cast(slots_type).alias("slots"), F.lit(None).cast("struct<run_tokens:int,n_slots:int,exact:boolean>").alias("best"))
@@ -88,10 +96,8 @@ def _passage(laid: Column) -> Column:
 
     def run(s):
         slots, size = s["slots"], s["at"] - s["start"]
-        side = lambda *names: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], *(x[n] for n in names)))))
-        pairs, exact = side("of", "value"), F.forall(slots, lambda x: x["of"] == x["value"])
-        consistent = (size - F.size(slots) >= LEAST) & (pairs == side("of")) & (pairs == side("value"))
-        return F.when((size >= F.col("need")) & (exact | consistent), passage(size, F.size(slots), exact))
+        exact = F.forall(slots, lambda x: x["of"] == x["value"])
+        return F.when((size >= F.col("need")) & (exact | (size - F.size(slots) >= LEAST)), passage(size, F.size(slots), exact))
 
     def verbatim(s):
         size = s["at"] - s["same"]
@@ -100,12 +106,16 @@ def _passage(laid: Column) -> Column:
     def step(s, p):
         slot, after = p["same"] & p["kind"].between(NUMBER, UNIT), s["at"] + 1
         this = F.struct(s["at"].alias("at"), p["kind"].alias("kind"), p["of"].alias("of"), p["value"].alias("value"))
-        ends = F.when(~p["same"], F.greatest(s["best"], run(s), verbatim(s))).when(p["of"] != p["value"], F.greatest(s["best"], verbatim(s))).otherwise(s["best"])
+        # The last slot of the run that this one contradicts: one of them has an equal and one a different value.
+        against = F.when(slot, F.coalesce(F.array_max(F.transform(F.filter(s["slots"], lambda x: (x["kind"] == p["kind"]) & ((x["of"] == p["of"]) != (x["value"] == p["value"]))), lambda x: x["at"])), F.lit(-1))).otherwise(F.lit(-1))
+        start = F.when(p["same"], F.greatest(s["start"], against + 1)).otherwise(after)
+        ends = F.when(~p["same"] | (against >= 0), F.greatest(s["best"], run(s), verbatim(s))).when(p["of"] != p["value"], F.greatest(s["best"], verbatim(s))).otherwise(s["best"])
+        kept = F.when(against >= 0, F.filter(s["slots"], lambda x: x["at"] > against)).otherwise(s["slots"])
         return F.struct(
             after.alias("at"),
-            F.when(p["same"], s["start"]).otherwise(after).alias("start"),
+            start.alias("start"),
             F.when(p["same"] & (p["of"] == p["value"]), s["same"]).otherwise(after).alias("same"),
-            F.when(~p["same"], F.array().cast(slots_type)).when(slot, F.concat(s["slots"], F.array(this))).otherwise(s["slots"]).alias("slots"),
+            F.when(~p["same"], F.array().cast(slots_type)).when(slot, F.concat(kept, F.array(this))).otherwise(s["slots"]).alias("slots"),
             # Of a shorter item only what reaches its end counts.
             F.when(F.col("need") == PASSAGE, ends).otherwise(s["best"]).alias("best"),
         )
@@ -113,9 +123,26 @@ def _passage(laid: Column) -> Column:
     return F.aggregate(laid, zero, step, lambda s: F.greatest(s["best"], run(s), verbatim(s)))
 
 
+def _verbatim(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The pairs of documents and items of at most ``LEAST`` tokens that they hold; None where there are no such items."""
+    bare = lambda words: F.transform(words, lambda w: F.translate(w, _MARK, ""))
+    short = items.where(F.size("item_words").between(1, LEAST)).select("item_id", F.size("item_words").alias("item_tokens"), F.size(F.filter(template(F.col("item_words")), lambda c: c.between(NUMBER, UNIT))).alias("n_slots"), F.array_join(bare(F.col("item_words")), " ").alias("phrase"))
+    sizes = sorted(r[0] for r in short.select("item_tokens").distinct().collect())
+    if not sizes:
+        return None
+    words = docs.select("doc_id", F.inline(F.array(F.struct(bare(tokens(F.col("text"))).alias("words")))))
+    cut = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.concat_ws(" ", *(F.get("words", i + k) for k in range(n)))))
+    phrases = words.select("doc_id", F.explode(F.concat(*(F.coalesce(cut(n), F.array().cast("array<string>")) for n in sizes))).alias("phrase"))
+    small = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = phrases.join(F.broadcast(short) if small else short, "phrase").groupBy("doc_id", "item_id").agg(F.max(F.struct("item_tokens", "n_slots")).alias("of"))
+    return hits.select("doc_id", "item_id", "of.item_tokens", F.col("of.item_tokens").alias("run_tokens"), "of.n_slots", F.lit(True).alias("exact"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_tokens, run_tokens, n_slots, exact (all slot values equal): one row for each pair that is contaminated."""
     items = texts(benchmark, "item_id").where("item_id is not null").withColumn("item_words", tokens(F.col("text"))).drop("text")
+    named = texts(docs).where("doc_id is not null")
+    verbatim = _verbatim(named, items)
     items = items.where(F.size("item_words") > LEAST).withColumn("item_codes", template(F.col("item_words"))).withColumn("item_tokens", F.size("item_words"))
     items = items.select("item_id", "item_words", "item_codes", "item_tokens", F.least(F.col("item_tokens") - 1, F.lit(PASSAGE)).alias("need"))
 
@@ -124,22 +151,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     forms = [(WINDOW, STRIDE), *((n, 1) for n in short)]
     index = None
     for k, (size, _) in enumerate(forms):
-        part = items.where(F.col("need") == (PASSAGE if k == 0 else size)).select("item_id", F.explode(windows("item_codes", size, 1)).alias("w")).select("item_id", "w.hash", F.col("w.pos").alias("item_pos")).where(F.lit(k == 0) | (F.col("item_pos") == 1))
+        part = items.where(F.col("need") == (PASSAGE if k == 0 else size)).select("item_id", "item_tokens", F.explode(windows("item_codes", size, 1)).alias("w")).select("item_id", "item_tokens", "w.hash", F.col("w.pos").alias("item_pos")).where(F.lit(k == 0) | (F.col("item_pos") == 1))
         index = part if index is None else index.unionByName(part)
     index = index.distinct()
 
-    coded = texts(docs).where("doc_id is not null").select("doc_id", template(tokens(F.col("text"))).alias("codes"))
+    coded = named.select("doc_id", template(tokens(F.col("text"))).alias("codes"))
     looked = F.explode(F.concat(*(F.coalesce(windows("codes", *form), F.array().cast("array<struct<hash:bigint,pos:int>>")) for form in forms)))
     found = coded.select("doc_id", looked.alias("w")).select("doc_id", "w.hash", "w.pos")
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = found.join(F.broadcast(index) if small else index, "hash")
-    aligned = materialize(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "aligned")
-    few = aligned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    laid = texts(docs).join(F.broadcast(aligned) if few else aligned, "doc_id")
+    aligned = hits.select("doc_id", "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    aligned = aligned.groupBy("doc_id", F.floor(F.col("shift") / STRETCH).alias("stretch")).agg(F.collect_set(F.struct("item_id", "item_tokens", "shift")).alias("alignments"))
+    aligned = materialize(aligned.drop("stretch"), "aligned")
+    few = aligned.agg(F.coalesce(F.sum(F.size("alignments")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+
+    # Through a one-row generator the words are made before the lambda that reads them for each alignment.
+    laid = named.join(F.broadcast(aligned) if few else aligned, "doc_id").select("doc_id", "alignments", F.inline(F.array(F.struct(tokens(F.col("text")).alias("words")))))
+    laid = laid.select("doc_id", F.explode(F.transform("alignments", lambda a: F.struct(a["item_id"].alias("item_id"), _quoted(F.col("words"), a["shift"], a["item_tokens"]).alias("quoted")))).alias("a")).select("doc_id", "a.*")
     laid = laid.join(F.broadcast(items) if small else items, "item_id")
     # Alignments without a passage are dropped after the aggregate: a filter here would be pushed through the
     # projection and evaluate its arrays again.
-    laid = laid.select("doc_id", "item_id", "item_tokens", _passage(_laid(tokens(F.col("text")))).alias("best"))
+    laid = laid.select("doc_id", "item_id", "item_tokens", _passage(_laid(F.col("quoted"))).alias("best"))
     best = laid.groupBy("doc_id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.max("best").alias("best")).where("best is not null")
-    return best.select("doc_id", "item_id", "item_tokens", "best.run_tokens", "best.n_slots", "best.exact")
+    out = best.select("doc_id", "item_id", "item_tokens", "best.run_tokens", "best.n_slots", "best.exact")
+    return out if verbatim is None else out.unionByName(verbatim)

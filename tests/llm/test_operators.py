@@ -203,8 +203,9 @@ def test_contamination(spark):
     )
     bench = spark.createDataFrame([(10, item), (11, other), (12, None), (None, item), (13, "a b")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
-    assert set(got) == {(1, 10), (2, 10), (5, 11)}
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (5, 11)}
     assert got[1, 10].exact and not got[2, 10].exact
+    assert got[2, 10].run_tokens == 27 and got[3, 10].run_tokens == 22  # up to the hours that don't fit
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 == decontam.contaminated(docs, bench.limit(0)).count()
 
 
@@ -218,14 +219,99 @@ def test_contamination_by_part_of_a_run(spark):
             (1, f"{words(0, 3)} 5 {words(3, 27)} 7 {words(27, 28)}"),  # verbatim up to the second 5
             (2, f"{words(0, 3)} 6 {words(3, 14)} qq {words(15, 27)} 7 {words(27, 28)}"),  # a consistent run of 15 tokens, then a broken one of 14
             (3, f"{words(3, 14)} 5"),
-            (4, f"{words(30, 32)} 1 {words(32, 37)} 2 {words(37, 51)} yy {words(51, 61)} 9 {words(61, 64)}"),  # the longest run inconsistent, the second of 14 consistent
+            (4, f"{words(30, 32)} 1 {words(32, 37)} 2 {words(37, 51)} yy {words(51, 61)} 9 {words(61, 64)}"),  # the longest run inconsistent at its second slot
             (5, "hw gw 5 fw ew 7 dw 6"),
         ],
         "doc_id long, text string",
     )
     bench = spark.createDataFrame([(1, item), (2, two), (3, short)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.run_tokens, r.n_slots, r.exact) for r in decontam.contaminated(docs, bench).collect()}
-    assert got == {(1, 1): (28, 1, True), (2, 1): (15, 1, False), (4, 2): (14, 1, False)}
+    assert got == {(1, 1): (28, 1, True), (2, 1): (15, 1, False), (4, 2): (20, 1, False)}  # from behind the first 5
+
+
+def test_contamination_inside_an_inconsistent_run(spark):
+    words = lambda a, b: " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}w" for k in range(a, b))
+    item = f"{words(0, 4)} 5 {words(4, 20)} 6 {words(20, 24)} 5 {words(24, 30)}"
+    docs = spark.createDataFrame(
+        [
+            (1, f"{words(0, 4)} 8 {words(4, 20)} 9 {words(20, 24)} 3 {words(24, 30)}"),  # 8 and 3 for 5: consistent up to the last slot, and after the first
+            (2, f"zz {words(30, 33)} 8 {words(33, 36)} yy"),
+            (3, "a seven word phrase is Right There now"),
+            (4, "right there"),
+        ],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(1, item), (2, "is right there"), (3, "RIGHT there now"), (4, "now"), (5, "..."), (6, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.run_tokens, r.n_slots, r.exact) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (28, 2, False), (3, 2): (3, 0, True), (3, 3): (3, 0, True), (3, 4): (1, 0, True)}
+
+
+def brute_templates(docs, items):
+    """Every alignment of every document and item of more than LEAST tokens, and the short ones by their words."""
+
+    def split(text):
+        marked = re.sub(r"(?<=[a-z0-9,;] )(?=[A-Z][a-z])", "\x01", text)
+        words = [w for w in re.split("[^a-z0-9\x01]+", marked.lower()) if w]
+        kind = lambda w: 1 if w[0].isdigit() else 2 if w[0] == "\x01" else 3 if w in decontam.UNITS else w
+        return words, list(map(kind, words))
+
+    out = {}
+    for i, text in items:
+        words, kinds = split(text)
+        for d, other in docs:
+            theirs, codes = split(other)
+            found, n, need = [], len(words), min(len(words) - 1, decontam.PASSAGE)
+            bare = [w.strip("\x01") for w in words]
+            if n <= decontam.LEAST:
+                if n and any([w.strip("\x01") for w in theirs[k : k + n]] == bare for k in range(len(theirs))):
+                    found.append((n, sum(isinstance(k, int) for k in kinds), True))
+            else:
+                for shift in range(-n, len(theirs)):
+                    same = [0 <= k + shift < len(theirs) and codes[k + shift] == kinds[k] for k in range(n)]
+                    for a in range(n):
+                        for b in range(a + need, n + 1):
+                            if not all(same[a:b]):
+                                break
+                            if need < decontam.PASSAGE and b < n:
+                                continue
+                            slots = [(kinds[k], words[k], theirs[k + shift]) for k in range(a, b) if isinstance(kinds[k], int)]
+                            exact = all(x == y for _, x, y in slots)
+                            consistent = all((x[1] == y[1]) == (x[2] == y[2]) for x in slots for y in slots if x[0] == y[0])
+                            if exact or consistent and b - a - len(slots) >= decontam.LEAST:
+                                found.append((b - a, len(slots), exact))
+            if found:
+                out[d, i] = max(found)
+    return out
+
+
+def test_contamination_by_brute_force(spark):
+    r = random.Random(12)
+    vocabulary = ["wone", "wtwo", "wthree", "wfour", "wfive", "wsix", "wseven", "Ann", "Bob", "km", "kg", "3", "4", "55"]
+    phrase = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, phrase(r.choice((0, 1, 2, 5, 6, 9, 13, 14, 16, 22)))) for i in range(30)]
+    docs = []
+    for d in range(60):
+        words = phrase(r.randrange(8))
+        for _ in range(r.randrange(3)):
+            quote = list(r.choice(items)[1])
+            swap = dict(zip(("3", "4", "55", "Ann", "Bob"), r.sample(("7", "8", "9"), 3) + r.sample(("Eve", "Tom"), 2), strict=True)) if r.random() < 0.5 else {}
+            quote = [swap.get(w, w) for w in quote]
+            for _ in range(r.randrange(3)):
+                if quote:
+                    quote[r.randrange(len(quote))] = r.choice(vocabulary)
+            words += quote[r.randrange(3) :] + phrase(r.randrange(4))
+        docs.append((d, " ".join(words)))
+    items = [(i, " ".join(w)) for i, w in items]
+    got = {(x.doc_id, x.item_id): (x.run_tokens, x.n_slots, x.exact) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = brute_templates(docs, items)
+    assert got == expected and sum(not e[2] for e in expected.values()) > 5
+
+
+def test_contamination_odd_tables(spark):
+    docs = spark.createDataFrame([(*x, "a", 1, 2, "b") for x in [(1, None), (2, ""), (None, "x y z"), (3, "one two three four five six seven " * 3000), (3, "one two")]], "doc_id long, text string, item_id string, hash int, pos int, words string")
+    bench = spark.createDataFrame([(1, "two three four five six seven one two three four five six seven one", "z", 1), (1, "two three four five six seven one two three four five six seven one", "z", 1), (2, None, "z", 1), (3, "", "z", 1)], "item_id long, text string, doc_id string, shift int")
+    assert rows(decontam.contaminated(docs, bench), "doc_id", "item_id", "run_tokens", "exact") == [(3, 1, 14, True)]
+    assert decontam.contaminated(docs.limit(0), bench).collect() == [] == decontam.contaminated(docs, bench.limit(0)).collect()
 
 
 def test_contamination_finds_whole_items(spark):
