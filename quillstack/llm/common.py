@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -44,25 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark's setting to remove a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet under the shared folder and returns the table read back.
 
-    The table outlives lost executors and goes when the application ends. Dropping the JVM's unreachable
-    plans afterwards lets Spark's context cleaner remove shuffle files that only the cut lineage needed.
+    The table outlives lost executors and goes when the application ends; the write's shuffle files go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    schema = df.schema
-    del df
-    for _ in range(2):  # what the first collection finds unreachable may have been all that held the rest
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:

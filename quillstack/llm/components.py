@@ -7,30 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-#: Steps after which a chain of any length that fits 64-bit ids has long converged.
-MOST_STEPS = 64
-
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). Returns node, component: the smallest id reachable, for every node that has a smaller one.
 
     Neighbours are only ever reduced to their minimum, which tasks aggregate before they send anything; a node
-    with very many neighbours meets its minimum in a join that may be split. Links stay on the executors.
+    with very many neighbours meets its minimum in a join that may be split. Links stay on the executors. Steps go on
+    until every node points to one that points nowhere.
     """
-    state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before, table = None, None
-    for _ in range(MOST_STEPS):
+    state, table = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.hint("merge").join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.hint("merge").join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         step = materialize(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
         if table is not None:
             discard(table)
         table = state = step
-        now = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        # Every node points to one that points nowhere: a node that points twice, or to one that points on, is unsettled.
+        ends = state.groupBy("u").agg(F.count(F.lit(1)).alias("n")).unionByName(state.select(F.col("v").alias("u"), F.lit(-1).cast("long").alias("n")).distinct())
+        if ends.groupBy("u").agg(F.count(F.lit(1)).alias("sides"), F.max("n").alias("n")).where("sides > 1 or n > 1").isEmpty():
+            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,16 +8,16 @@ are linked if the Jaccard similarity of their sets reaches ``percent`` hundredth
    retained values (but for a chance below one in a million at the threshold), or nearly all of a small set.
    So it is enough to list a document under the rarest of its values, as many as could all be missing from a
    linked one, plus one; passages that many documents have in common stay out of the lists.
-3. A list's members are first compared with one member that its hash picks; lists of one group pick different
-   ones. Candidates pass if the similarity that the union's sketch estimates is not clearly too low, and are
-   verified on the full sets. Verified links give components.
-4. In what is left only members of different components are still compared, all of them, so no link that joins
-   components is lost. For lists of more than ``LIST`` members that is preceded by an exact test that takes out
-   members which can't have a link (too many of their shingles occur in no other such member), by a second
-   round of picks, and it compares members outside of a list's largest component only.
+3. A list's members are first compared with one member, of the highest counts of retained values, which lists of one
+   group mostly agree on. Candidates pass if the similarity that the union's sketch estimates is not clearly too low,
+   and are verified on the full sets. Members linked to one hub share a label.
+4. In what is left only members of different labels are still compared. Lists of up to ``LIST`` members are joined
+   with themselves. In longer ones members are compared by their differences from the list's hub (``_differences``):
+   two members of which one is not linked to the hub must share a part of both's differences that can be counted, so
+   it is enough to meet under the rarest of those. That is a prefix filter on the full sets, and exact.
 
 Nothing here gathers a list in one task: picks are aggregates, and lists meet themselves in joins that Spark
-may split. Exact copies are never expanded into pairs.
+may split. Exact copies are never expanded into pairs, and labels only spare comparisons inside of a component.
 
 Defined results: a null or empty text has an empty set, which is linked with nothing; texts of fewer words than
 a shingle are one shingle; a null doc_id takes no part, its component is null and it is kept; rows that repeat
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,24 +141,9 @@ def _verified(percent: int):
     return run
 
 
-def _exploded(batches):
-    for batch in batches:
-        sets = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])), pa.array(np.concatenate([np.zeros(0, "<i8"), *sets]))], ["rep", "value"])
-
-
 def _alike(percent: int) -> Column:
-    """Whether the threshold admits sets of these sizes n, na of which at most ``common`` and ``commona`` shingles are shared with any."""
-    shared = F.least("common", "commona")
-    return (100 * shared) >= (percent * (F.col("n") + F.col("na") - shared))
-
-
-#: An entry as the other side of a join.
-_OTHER = {"rep": "a", "n": "na", "common": "commona", "component": "ca"}
-
-
-def _other(entries: DataFrame) -> DataFrame:
-    return entries.select("value", *(F.col(k).alias(v) for k, v in _OTHER.items()))
+    """Whether the threshold admits sets of these sizes, n and na."""
+    return 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
 
 
 class _Verifier:
@@ -166,26 +152,85 @@ class _Verifier:
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
 
-    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of pairs (a, b), as they are given, none twice."""
         short = self.sets.select("rep", F.substring("set", 1, 8 * K).alias("sketch"))
-        likely = ordered.join(short.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(short.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+        likely = pairs.select("a", "b").distinct().join(short.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(short.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
         likely = likely.select("a", "b", "sa", "sb").mapInArrow(_estimated(least_shared(self.percent)), "a long, b long")
         full = likely.join(self.sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(self.sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-        return materialize(full.select("a", "b", "sa", "sb").mapInArrow(_verified(self.percent), "a long, b long"), name)
+        return materialize(full.select("a", "b", "sa", "sb").mapInArrow(_verified(self.percent), "a long, b long"), "links")
 
 
-def _with_component(entries: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return entries.withColumn("component", F.col("rep"))
-    return entries.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _hooked(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """entries with ``label`` replaced by a hub that ``rep`` is linked to (or by that one's), if there is one. links: a (the hub), b.
+
+    Equal labels mean one component; the other way round need not hold.
+    """
+    near = links.where("a <> b").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
+    far = near.select(F.col("node").alias("__hub"), F.col("hub").alias("top"))
+    near = near.join(far, F.col("hub") == F.col("__hub"), "left").select(F.col("node").alias("of"), F.coalesce("top", "hub").alias("to"))
+    return entries.join(near, F.col("rep") == F.col("of"), "left").withColumn("label", F.coalesce("to", "label")).drop("of", "to")
 
 
-def _picks(entries: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Pairs of each list's picked member and its others of another component."""
-    pick = entries.groupBy("value").agg(F.min_by("rep", F.xxhash64("rep", "value", F.lit(salt))).alias("pick"))
-    chosen = entries.join(pick, ["value"]).where("rep = pick")
-    return entries.join(_other(chosen), "value").where((F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
+def _mixed(entries: DataFrame, *keys: str) -> DataFrame:
+    """The keys of the lists of more than one label."""
+    return entries.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
+
+
+def _difference(percent: int):
+    """hub, rep, set, the hub's set -> with sizes, whether they are linked, and what only one of them has."""
+
+    def run(batches):
+        for batch in batches:
+            n, of, linked, delta = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                d = np.setxor1d(x, y, assume_unique=True)
+                shared = (len(x) + len(y) - len(d)) // 2
+                n.append(len(x)), of.append(len(y)), delta.append(d.view(np.int64))
+                linked.append(100 * shared >= percent * (shared + len(d)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["hub", "rep", "n", "nh", "linked", "delta"])
+
+    return run
+
+
+def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, rep, n, nh, linked, delta: each member's shingles that its hub has not, and the other way round."""
+    of = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
+    pairs = groups.join(of("rep"), "rep").join(of("hub"), "hub").select("hub", "rep", "set_rep", "set_hub")
+    return pairs.mapInArrow(_difference(percent), "hub long, rep long, n long, nh long, linked boolean, delta array<long>")
+
+
+def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
+    """hub, value, rep, label, n, linked, d, shared, strong: each member under the rarest of its differences from the hub.
+
+    Let x and y differ from the hub in dx and dy shingles, o of them the same ones. They are linked if and only if
+    dx + dy - 2 o <= c (nx + ny), where c = (100 - percent) / (100 + percent). If x is not linked to the hub,
+    dx > c (nx + nh), and so 2 o > dy - c (ny - nh) for its partner y (``strong``), and o >= (dx - c (nx + nh)) / (1 + c)
+    for x itself. Of d differences in one order for all, the d - o + 1 first ones contain a common one. A difference
+    that no other member has can't be common, so it takes its place, the first, but has no entry.
+    """
+    flat = deltas.select("hub", "rep", F.explode("delta").alias("value"))
+    times = flat.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    ranked = flat.join(times, ["hub", "value"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
+    c, k = 100 - percent, 100 + percent
+    d, shared = F.size("delta").cast("long"), F.size("values").cast("long")
+    strong = F.floor((k * d - c * (F.col("n") - F.col("nh"))) / (2 * k)) + 1
+    weak = F.greatest(F.lit(1), F.ceil((k * d - c * (F.col("n") + F.col("nh"))) / (c + k)))
+    held = deltas.join(ranked, ["hub", "rep"]).select("hub", "rep", "label", "n", "linked", d.alias("d"), shared.alias("shared"), (shared - strong + 1).alias("first"), F.when(F.col("linked"), shared - strong + 1).otherwise(shared - weak + 1).alias("last"), "values")
+    taken = F.slice("values", F.lit(1), F.greatest(F.lit(0), F.greatest("first", "last")).cast("int"))
+    return held.select("hub", "rep", "label", "n", "linked", "d", "shared", "first", F.posexplode(taken).alias("rank", "v")).select("hub", "v.value", "rep", "label", "n", "linked", "d", "shared", (F.col("rank") < F.col("first")).alias("strong"))
+
+
+def _meetings(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are listed under one difference and may be linked: one not linked to the hub, the other by its strong ones."""
+    c, k = 100 - percent, 100 + percent
+    names = {"rep": "a", "label": "la", "n": "na", "linked": "linkeda", "d": "da", "shared": "shareda", "strong": "stronga"}
+    other = entries.where("strong").select("hub", "value", *(F.col(x).alias(y) for x, y in names.items()))
+    room = 2 * k * F.least("shared", "shareda") >= k * (F.col("d") + F.col("da")) - c * (F.col("n") + F.col("na"))
+    once = F.col("linkeda") | (F.col("strong") & (F.col("rep") < F.col("a")))
+    met = entries.where("not linked").join(other, ["hub", "value"]).where((F.col("label") != F.col("la")) & once & room & _alike(percent))
+    return met.select(F.col("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -195,37 +240,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = materialize(classes, "classes")
     entries = _lists(rows, classes, percent)
-    sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
 
-    wanted = entries.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = entries.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = base.join(F.broadcast(wanted) if few else wanted, "doc_id")
     sets = materialize(sets.select("doc_id", "text").mapInArrow(_full_sets(width), "rep long, set binary").dropDuplicates(["rep"]), "sets")
     verify = _Verifier(sets, percent)
 
-    links = verify(_picks(_with_component(entries, None), 0, percent), "links")
-    found = components(links)
-
-    # Lists whose members are all of one component have nothing left to find.
-    entries = _with_component(entries, found)
-    mixed = entries.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").join(sizes, "value").select("value", "size")
-    left = materialize(entries.join(mixed, "value"), "mixed")
-    small, large = left.where(F.col("size") <= LIST), left.where(F.col("size") > LIST)
-    rest = None
-    if not large.isEmpty():
-        large = _linkable(large, sets, percent)
-        more = verify(_picks(large, 1, percent), "links")
-        links = links.unionByName(more)
-        found = components(links)
-        large = materialize(_with_component(large.drop("component"), found), "large")
-        counts = large.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
-        main = counts.groupBy("value").agg(F.max_by("component", "members").alias("main"))
-        outside = _other(large.join(main, "value").where("component <> main"))
-        rest = large.join(outside, "value").where((F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
-        small = _with_component(small.drop("component"), found)
-    pairs = small.join(_other(small), "value").where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("ca")) & _alike(percent)).select("a", F.col("rep").alias("b"))
-    links = links.unionByName(verify(pairs if rest is None else pairs.unionByName(rest), "links"))
-    found = components(links)
+    links = [verify(entries.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))]
+    # Lists whose members are all of one label have nothing left to find.
+    entries = _hooked(entries.withColumn("label", F.col("rep")), links[0])
+    left = materialize(entries.join(_mixed(entries, "value"), "value", "left_semi").drop("label"), "mixed")
+    large = left.where(F.col("size") > LIST).select("hub", "rep").distinct()
+    several = not large.isEmpty()
+    if several:
+        deltas = materialize(_differences(large, sets, percent), "differences")
+        links.append(deltas.where("linked and hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        deltas = _hooked(deltas.withColumn("label", F.col("rep")), links[0].unionByName(links[1]))
+    small = _hooked(left.where(F.col("size") <= LIST).withColumn("label", F.col("rep")), links[0])
+    other = small.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    pairs = small.join(other, "value").where((F.col("a") < F.col("rep")) & (F.col("label") != F.col("la")) & _alike(percent)).select("a", F.col("rep").alias("b"))
+    if not several:
+        links.append(verify(pairs))
+    else:
+        met = _rarest(deltas.join(_mixed(deltas, "hub"), "hub", "left_semi"), percent)
+        met = materialize(met.join(_mixed(met, "hub", "value"), ["hub", "value"], "left_semi"), "met")
+        # Again each list's members are first compared with one, the nearest to the hub.
+        nearest = met.groupBy("hub", "value").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct("d", "rep")).alias("p")).select("hub", "value", "p.*")
+        picks = met.join(nearest, ["hub", "value"]).where((F.col("label") != F.col("la")) & _alike(percent)).select("a", F.col("rep").alias("b"))
+        links.append(verify(pairs.unionByName(picks)))
+        found = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("of"), F.col("component").alias("to"))
+        met = met.join(found, F.col("rep") == F.col("of"), "left").withColumn("label", F.coalesce("to", "rep")).drop("of", "to")
+        links.append(verify(_meetings(materialize(met.join(_mixed(met, "hub", "value"), ["hub", "value"], "left_semi"), "met"), percent)))
+    found = components(reduce(DataFrame.unionByName, links))
 
     out = rows.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -233,29 +280,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _lists(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """value, rep, n: each class under the rarest of its retained values, lists of one left out."""
+    """value, rep, n, size, hub: each class under the rarest of its retained values, lists of one left out.
+
+    hub is a document to compare the list's members with: of a short list the member of the highest counts, of a long
+    one the anchor that most members agree on. It need not be a member.
+    """
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id").where("digest = d").select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"])
     flat = reps.select("rep", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     common = flat.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    held = flat.join(common, "value").groupBy("rep").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.collect_list(F.struct("times", "value")).alias("values"))
+    held = flat.join(common, "value").groupBy("rep").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.sum("times").alias("weight"), F.collect_list(F.struct("times", "value")).alias("values"))
     # All but least_shared of the retained values (of a small set: of what a linked one must have) and one more.
     needed = F.least(F.lit(least_shared(percent)), F.ceil(F.col("n") * percent / 100).cast("int"))
     room = F.col("kept") - needed + 1 - (F.col("kept") - F.size("values"))
-    listed = held.where(room > 0).select("rep", "n", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.greatest(F.lit(0), room))).alias("v")).select("rep", "n", "v.value")
+    # A document's anchor is the one of the highest counts among those with the same most frequent value.
+    held = materialize(held.withColumn("top", F.array_max("values")["value"]), "held")
+    anchors = held.groupBy("top").agg(F.max_by("rep", F.struct("weight", F.xxhash64("rep"))).alias("anchor"))
+    listed = held.where(room > 0).join(anchors, "top").select("rep", "n", "weight", "anchor", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.greatest(F.lit(0), room))).alias("v")).select("rep", "n", "weight", "anchor", "v.value")
     listed = materialize(listed, "listed")
-    several = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialize(listed.join(several.select("value"), "value").withColumn("common", F.col("n")), "lists")
-
-
-def _linkable(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The entries whose documents may have a link among those of all large lists, with ``common``.
-
-    That is how many of a document's shingles any other of these documents has: an exact bound on what it can
-    share, which takes out documents, and pairs, that can't be linked. Linear in the documents' texts.
-    """
-    members = large.select("rep", "n").distinct()
-    flat = sets.join(members.select("rep"), "rep").select("rep", "set").mapInArrow(_exploded, "rep long, value long")
-    alone = flat.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).where("times = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    out = members.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    out = large.drop("common").join(out, "rep").where(100 * F.col("common") >= percent * F.col("n"))
-    return materialize(out, "linkable")
+    votes = listed.groupBy("value", "anchor").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct("weight", F.xxhash64("rep"), "rep")).alias("best"))
+    several = votes.groupBy("value").agg(F.sum("votes").alias("size"), F.max("best")["rep"].alias("own"), F.max_by("anchor", F.struct("votes", "anchor")).alias("main")).where("size > 1")
+    several = several.select("value", "size", F.when(F.col("size") > LIST, F.col("main")).otherwise(F.col("own")).alias("hub"))
+    return materialize(listed.join(several, "value").select("value", "rep", "n", "size", "hub"), "lists")
