@@ -39,6 +39,11 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[1])
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and what leaving it out would bring back, from the ledger's bits."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,7 +59,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op4_tool_calls, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontaminate, op4_tool_calls, op5_suffix_dedup, op6_sketch_dedup, op7_rules, op8_toxicity, op9_warc, op10_pack, rule_ablations)}
 
 
 #: What DuckDB can express. The others are tested against plain Python: op1, op2 and op5 need places of matches or
@@ -86,16 +91,24 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM r LEFT JOIN n ON r.a = n.doc_id GROUP BY a
 """
 
-_RULE_BITS = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(rules.RULES))
-SQL["op7_rules"] = rf"""
+# The rules and the policies' masks are written out here, so that the operator's own are compared with something.
+_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\t-\r]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\t-\r]')) AS l FROM d),
 g AS (SELECT doc_id, i, w[i:i+4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
-m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, length(text) - length(translate(text, '{rules.SYMBOLS}', '')) AS n_symbols, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals,
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals,
 CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p ON w.doc_id = p.doc_id),
-b AS (SELECT *, CAST({_RULE_BITS} AS BIGINT) AS fail_bits FROM m)
-SELECT *, fail_bits & {rules.BASE.mask} <> 0 AS base_failed, fail_bits & {rules.BASE.mask | rules.POLICIES[1].mask} = 0 AS kept, '{rules.POLICIES[1].version}' AS policy FROM b
+b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words * 5 > n_words THEN 2 ELSE 0 END + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END + CASE WHEN word_chars < n_words + n_words THEN 8 ELSE 0 END
++ CASE WHEN word_chars > 14 * n_words THEN 16 ELSE 0 END + CASE WHEN n_symbols * 10 > n_words * 3 THEN 32 ELSE 0 END + CASE WHEN n_capitals * 5 > word_chars * 2 THEN 64 ELSE 0 END + CASE WHEN n_dup_lines * 10 > n_lines * 3 THEN 128 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+"""
+
+SQL["op7_rules"] = _LEDGER + "SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, fail_bits & 127 = 0 AS kept, 'v1' AS policy FROM b"
+
+SQL["rule_ablations"] = _LEDGER + """, r(k, rule) AS (VALUES (0, 'few_words'), (1, 'repeated_windows'), (2, 'many_words'), (3, 'short_words'), (4, 'long_words'), (5, 'symbols'), (6, 'capitals'), (7, 'repeated_lines')),
+p2(policy, mask) AS (VALUES ('base', 3), ('v1', 127), ('v2', 255))
+SELECT policy, rule, CAST(count(*) FILTER (fail_bits & mask & (1 << k) <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fail_bits & mask = (1 << k)) AS BIGINT) AS n_only, CAST(count(*) FILTER (fail_bits & mask <> 0) AS BIGINT) AS n_rejected
+FROM b, p2, r WHERE mask & (1 << k) <> 0 GROUP BY policy, rule
 """
 
 SQL["op9_warc"] = """

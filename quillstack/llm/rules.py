@@ -7,6 +7,9 @@ policies and leaving rules out (ablations), reads the ledger's bits and never a
 The measurements need no shuffle: repeated windows are found inside a row, by sorting the hashes of its
 5-word windows, and only in rows whose hashes are not all distinct.
 
+``long_words`` and ``few_words`` count words between spaces, so policies that have them reject texts in scripts that
+write none.
+
 Defined results: a null or empty text has no words and fails ``few_words``; very long texts are measured
 whole; a null or repeated doc_id is carried through, one result for each row; extra columns are ignored; an
 empty table gives no rows (and ablations of zero documents).
