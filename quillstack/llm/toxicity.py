@@ -6,7 +6,8 @@ pairs of neighbouring words, its pairs with one word between (skip-grams), and w
 coordinates with a weight, so the model that travels to the executors is small (``Model.most`` bounds it).
 
 Only text is ever read for a score. The fit reads at most ``TRAIN_ROWS`` labelled documents, those with the
-smallest hash of their id, none of them held out; scoring covers all rows and moves none of them.
+smallest hash of their id, none of them held out, and in that order no more than have ``TRAIN_SLOTS`` features together;
+scoring covers all rows and moves none of them.
 
 Defined results: a null or empty text scores the bias alone; very long texts are scored whole; a null or
 repeated doc_id is carried through, one score for each row (a null id counts as the empty text in the
@@ -28,6 +29,8 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 #: The largest number of labelled documents that a fit reads.
 TRAIN_ROWS = 12_000
+#: The most features, of four bytes each, that these may have together; far more than 12,000 common documents have.
+TRAIN_SLOTS = 50_000_000
 PREFIX = 4
 BLOCK_BYTES = 1 << 19
 
@@ -115,7 +118,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_slots: int = TRAIN_SLOTS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out rows are never read; rows without an id or a label teach nothing."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -139,18 +142,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "slots", "toxic"])
 
     # At most train_rows short rows: their number is the bound that lets them be broadcast.
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, slots binary, toxic int").toArrow()
-    if not rows.num_rows:
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, slots binary, toxic int")
+    # A partition at a time comes to the driver, so what it holds is bounded however long the documents are.
+    kept, slots = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        slots += len(r.slots) // 4
+        if slots > train_slots and kept:
+            break
+        kept.append((r.doc_id, r.toxic, np.frombuffer(bytes(r.slots), "<u4")))
+    if not kept:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return ftrl([np.frombuffer(x.as_py(), "<u4") for x in rows["slots"]], rows["toxic"].to_numpy().astype(float))
+    kept.sort(key=lambda r: r[0])
+    return ftrl([r[2] for r in kept], np.array([r[1] for r in kept], float))
 
 
 def scorer(model: Model):
     """An Arrow function from texts to scores."""
+    made: list[np.ndarray] = []
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(scores(column, model.dense(), model.bias))
+        if not made:
+            made.append(model.dense())
+        return pa.array(scores(column, made[0], model.bias))
 
     return F.arrow_udf(run, "double")
 

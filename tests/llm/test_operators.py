@@ -564,6 +564,58 @@ def test_toxicity_fits_on_all_its_rows():
     assert inspect.signature(toxicity.fit).parameters["train_rows"].default == 12_000
 
 
+def test_toxicity_bounds_what_it_learns_from(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * 5 + "and more") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    whole, part = toxicity.fit(docs, labels), toxicity.fit(docs, labels, train_slots=60)
+    assert 0 < part.slots.size <= whole.slots.size or part.bias != whole.bias
+
+
+def plain_ftrl(rows, labels, alpha, beta, l1, l2, epochs):
+    z, n, zb, nb, order = defaultdict(float), defaultdict(float), 0.0, 0.0, np.random.default_rng(11)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+    bias = lambda: -zb / ((beta + nb**0.5) / alpha)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k]}
+            b = bias()
+            g = 1 / (1 + np.exp(-(b + sum(w.values())))) - labels[k]
+            for i in rows[k]:
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    return {i: weight(i) for i in z if weight(i)}, bias()
+
+
+def test_toxicity_by_plain_python():
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choice(words[:40] if k % 3 else words) for _ in range(r.randrange(12))) for k in range(150)]
+    labels = np.array([float(any(w in t.split() for w in words[40:])) for t in texts])
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    sets = [np.unique(toxicity._slots(x, np.array([0, len(x)]))[0]) for x in raw]
+    model = toxicity.ftrl(sets, labels, l1=0.3)
+    weights, bias = plain_ftrl([s.tolist() for s in sets], labels, 0.2, 1.0, 0.3 * (len(sets) / 12_000) ** 0.5, 0.5, 4)
+    assert set(model.slots.tolist()) == set(weights) and len(weights) > 10
+    assert np.allclose(model.weights, [weights[i] for i in model.slots.tolist()], rtol=1e-4) and abs(model.bias - bias) < 1e-9
+    got = toxicity.scores(pa.array([*texts, None, "", "W1, w2! w1"]), model.dense(), model.bias)
+    of = lambda t: set(toxicity._slots(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+    plain = lambda t: 1 / (1 + np.exp(-(bias + sum(weights.get(i, 0.0) for i in of(t)))))
+    assert np.allclose(got, [plain(t) for t in (*texts, "", "", "w1 w2 w1")], atol=1e-5)
+
+
+def test_toxicity_features():
+    of = lambda t: set(toxicity._slots(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist())
+    assert len(of("alpha")) == 2 and of("ALPHA") == of("alpha") and len(of("alpha") & of("alphabet")) == 1  # the word, and what it begins with
+    pair = of("alpha beta")
+    assert len(pair - of("alpha") - of("beta")) == 1 and pair != of("beta alpha")
+    three = of("alpha beta gamma")
+    assert len(three - pair - of("beta gamma")) == 1 and len(three & of("alpha other gamma") - of("alpha") - of("gamma")) == 1  # the skip-gram
+    assert of("") == set()
+
+
 def test_toxicity_without_labels(spark):
     docs = common.table(spark, SMALL, "documents").limit(3)
     model = toxicity.fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
