@@ -46,6 +46,9 @@ class SummaryConfig:
     temperature: float = 0.3
     top_p: float = 0.9
     model: str | None = None
+    polish: bool = False
+    devices: tuple[int, ...] = (0,)
+    four_bit: bool = True
 
 
 @dataclass(frozen=True)
@@ -143,7 +146,7 @@ def parser() -> argparse.ArgumentParser:
     for part, kind in _PARTS.items():
         for f in fields(kind):
             sample = getattr(kind(), f.name)
-            convert = to_bool if isinstance(sample, bool) else to_list if isinstance(sample, tuple) else type(sample) if sample is not None else str
+            convert = to_bool if isinstance(sample, bool) else to_ints if f.name == "devices" else to_list if isinstance(sample, tuple) else type(sample) if sample is not None else str
             out.add_argument(f"--{part}-{f.name.replace('_', '-')}", type=convert, default=None)
     return out
 

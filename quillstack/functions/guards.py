@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+# Fixed value: the characters whose presence makes an answer not English.
 HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 NO_THINK = "/no_think"
 # Labels that a model may put before its answer.
@@ -17,6 +18,15 @@ PROMPT = (
     "Translate other languages. No lists, titles, labels or quotations. Use fewer than {limit} sentences."
 )
 SYSTEM = "You write faithful English summaries and reply with the summary alone."
+REPAIR = "Put the text below into English and keep its meaning. Translate what is in another language, or leave it out if it can't be. Mend spacing and spelling, add no facts, and reply with one paragraph."
+POLISH = "Edit the text below for grammar, spelling, punctuation and spacing. Keep every fact, add none, and reply with one paragraph."
+EDITOR = "You are a careful editor of English and reply with the edited text alone."
+SURVEY = (
+    "The passage holds summaries of several documents. Write one overview of them in English: what they share, where they differ, and how they relate. "
+    "Don't go through them one by one, and add nothing that they don't say. Use fewer than 8 sentences."
+)
+INTRODUCTION = "The passage holds a survey and the summaries behind it. Write one introductory paragraph in English for a report on them: what it covers, what connects the documents, and why they are worth reading together. No lists, headings or new facts."
+CONCLUSION = "The passage holds a survey and the summaries behind it. Write one closing paragraph in English for a report on them: tie the documents together, and say what they show as a set. No lists, headings or new facts."
 
 
 def has_han(x: Column) -> Column:
@@ -28,7 +38,7 @@ def drop_thinking(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?is)<think>.*?</think>", " "), r"(?is)<think>.*", " ")
 
 
-#: (pattern, replacement) of ``clean_edges`` after thinking is gone.
+# Fixed values: (pattern, replacement) of ``clean_edges`` after thinking is gone.
 EDGE_STEPS = (
     (r"(?i)^\s*(?:(?:" + "|".join(LABELS) + r")\s*:)+\s*", ""),
     (r"\s+", " "),

@@ -1,4 +1,9 @@
-"""Cleaning and its measurements as DataFrame transforms over (doc_id, text)."""
+"""Cleaning and its measurements as DataFrame transforms over (doc_id, text).
+
+Defined results: a null text is an empty one; rows that repeat a doc_id are each cleaned; ``folded``, ``citations``,
+``tokens`` and ``cleaned_text`` are results, and replace columns of these names that the table has (``clean`` leaves a
+``folded`` alone); an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +14,18 @@ from ..config import CleanConfig
 from ..functions import text as T
 
 
-def normalise(df: DataFrame, config: CleanConfig | None = None, column: str = "text") -> DataFrame:
-    """Adds ``folded``: the text after Unicode folding, null as empty, line ends as \\n."""
+def normalise(df: DataFrame, config: CleanConfig | None = None, column: str = "text", to: str = "folded") -> DataFrame:
+    """Adds ``to``: the text after Unicode folding, null as empty, line ends as \\n."""
     config = config or CleanConfig()
     raw = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "\r\n?", "\n")
-    return df.withColumn("folded", T.fold_ascii(raw) if config.unicode else raw)
+    return df.withColumn(to, T.fold_ascii(raw) if config.unicode else raw)
 
 
 def clean(df: DataFrame, config: CleanConfig | None = None, column: str = "text") -> DataFrame:
     """Adds tokens, citations and cleaned_text. The order of the steps is part of the contract."""
     config = config or CleanConfig()
-    out = normalise(df, config, column)
-    body = F.col("folded")
+    out = normalise(df, config, column, "__folded")
+    body = F.col("__folded")
     out = out.withColumn("citations", T.citations(body) if config.citations else F.array().cast("array<string>"))
     body = T.drop_citations(body) if config.citations else body
     body = T.drop_symbols(body) if config.symbols else body
@@ -29,7 +34,7 @@ def clean(df: DataFrame, config: CleanConfig | None = None, column: str = "text"
     words = (*(config.stutter_list if config.stutters else ()), *(config.filler_list if config.fillers else ()))
     out = out.withColumn("__kept", T.drop_words(kept, words))
     out = out.withColumn("tokens", T.drop_repeats(F.col("__kept")) if config.repeats else F.col("__kept"))
-    return out.withColumn("cleaned_text", T.join_tokens(F.col("tokens"))).drop("folded", "__all", "__kept")
+    return out.withColumn("cleaned_text", T.join_tokens(F.col("tokens"))).drop("__folded", "__all", "__kept")
 
 
 def clean_metrics(df: DataFrame, config: CleanConfig | None = None) -> DataFrame:

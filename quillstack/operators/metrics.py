@@ -1,4 +1,7 @@
-"""Throughput of a run and totals of its documents."""
+"""Throughput of a run and totals of its documents.
+
+Defined results: a null text counts nothing; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Reading orders of chunks, from their keys."""
+"""Reading orders of chunks, from their keys.
+
+Defined results: a null key is ordered as one of no number; ties keep their ``seq``; ``position`` replaces a column of that
+name; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""From chunk summaries to one summary for each document, and from those to one for the stack."""
+"""From chunk summaries to one summary for each document, and from those to one for the stack.
+
+Defined results: null summaries are left out of joined texts; ties of a key are ordered by text; rows of one doc_id are one
+document, so ids have to be unique; a null doc_id is a document of its own; extra columns are ignored; an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,31 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, ReduceConfig, SummaryConfig
 from ..functions.text import strip
+from ..storage import shared_dir
 from .chunk import chunk
 from .order import ordered, section_name
 from .summarize import Summarizer, summarise
 
 #: Logged stages of a reduction.
 SECTION, RECHUNK, FINAL, LAST = "section-reduction", "paper-rechunk-reduction", "paper-final-reduction", "paper-max-round-final-reduction"
-LOG = ["doc_id", "stage", "round", "name", "n_inputs", "input_text", "output_text"]
+_PIECES = "array<struct<key:string,text:string>>"
+LOG = f"doc_id long, stage string, round int, name string, n_inputs long, inputs {_PIECES}, input_text string, outputs {_PIECES}, output_text string, seconds double"
+#: Documents that are merged into one text; a larger stack is first reduced by ranges of so many.
+RANGE = 1000
+
+
+def _pieces(key: str, text: str, order: str) -> Column:
+    """The texts with their keys, in order, as the log has them."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("key"), F.col(text).alias("text"))))
+    return F.transform(rows, lambda r: F.struct(r["key"].alias("key"), r["text"].alias("text")))
+
+
+def _entry(df: DataFrame, stage: str, number: int, name: Column, n_inputs: Column, inputs: Column, given: str, outputs: Column, made: str) -> DataFrame:
+    return df.select("doc_id", F.lit(stage).alias("stage"), F.lit(number).alias("round"), name.alias("name"), n_inputs.cast("long").alias("n_inputs"), inputs.cast(_PIECES).alias("inputs"), F.col(given).alias("input_text"), outputs.cast(_PIECES).alias("outputs"), F.col(made).alias("output_text"), "seconds")
+
+
+def _one(key: Column, text: str) -> Column:
+    return F.array(F.struct(key.alias("key"), F.col(text).alias("text")))
 
 
 def _in_order(order: str, text: str = "summary") -> Column:
@@ -48,9 +71,10 @@ def reduce_sections(summaries: DataFrame, backend: Callable[[], Summarizer] | No
     """Summaries by section, and the log. A section of one piece keeps its summary and costs no call."""
     config = config or ReduceConfig()
     combined = combine_sections(summaries)
+    keyed = summaries.withColumn("section", section_name(F.col("chunk_key"))).groupBy("doc_id", "section").agg(_pieces("chunk_key", "summary", "chunk_key").alias("inputs"))
     single = combined.where("n_pieces = 1").select("doc_id", "section", "seq").join(summaries.select("doc_id", "seq", "summary"), ["doc_id", "seq"])
-    several = summarise(combined.where("n_pieces > 1"), backend, _summary_config(config, summary))
-    log = several.select("doc_id", F.lit(SECTION).alias("stage"), F.lit(1).alias("round"), F.col("section").alias("name"), F.col("n_pieces").alias("n_inputs"), F.col("text").alias("input_text"), F.col("summary").alias("output_text"))
+    several = summarise(combined.where("n_pieces > 1").join(keyed, ["doc_id", "section"]), backend, _summary_config(config, summary))
+    log = _entry(several, SECTION, 1, F.col("section"), F.col("n_pieces"), F.col("inputs"), "text", _one(F.col("section"), "summary"), "summary")
     out = single.select("doc_id", "seq", "section", "summary").unionByName(several.select("doc_id", "seq", "section", "summary"))
     return out.withColumnRenamed("section", "chunk_key"), log
 
@@ -69,7 +93,7 @@ def reduce_paper(summaries: DataFrame, backend: Callable[[], Summarizer] | None
     def finish(ready: DataFrame, stage: str, number: int) -> None:
         final = _cut_lineage(summarise(ready, backend, options))
         done.append(final.select("doc_id", F.col("summary").alias("paper")))
-        logs.append(final.select("doc_id", F.lit(stage).alias("stage"), F.lit(number).alias("round"), F.lit("paper").alias("name"), F.lit(1).cast("long").alias("n_inputs"), F.col("text").alias("input_text"), F.col("summary").alias("output_text")))
+        logs.append(_entry(final, stage, number, F.lit("paper"), F.lit(1), _one(F.lit("paper"), "text"), "text", _one(F.lit("paper"), "summary"), "summary"))
 
     for number in range(1, config.rounds + 1):
         fits = F.length("text") <= config.char_limit
@@ -81,9 +105,13 @@ def reduce_paper(summaries: DataFrame, backend: Callable[[], Summarizer] | None
         if drop_front:
             parts = parts.where(~F.col("chunk_key").isin("title", "front front"))
         parts = parts.withColumn("seq", F.col("position"))
-        merged = summarise(parts, backend, options).groupBy("doc_id").agg(_in_order("seq").alias("text"), F.count(F.lit(1)).alias("n_inputs"))
-        after = _cut_lineage(pending.select("doc_id", F.col("text").alias("input_text")).join(merged, "doc_id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "n_inputs": F.coalesce("n_inputs", F.lit(0))}))
-        logs.append(after.select("doc_id", F.lit(RECHUNK).alias("stage"), F.lit(number).alias("round"), F.lit("paper").alias("name"), "n_inputs", "input_text", F.col("text").alias("output_text")))
+        parts = parts.withColumn("key", F.concat(F.lit("paper."), F.col("position").cast("string")))
+        merged = summarise(parts, backend, options).groupBy("doc_id").agg(
+            _in_order("seq").alias("text"), F.count(F.lit(1)).alias("n_inputs"), _pieces("key", "text", "seq").alias("inputs"), _pieces("key", "summary", "seq").alias("outputs"), F.sum("seconds").alias("seconds")
+        )
+        after = pending.select("doc_id", F.col("text").alias("input_text")).join(merged, "doc_id", "left")
+        after = _cut_lineage(after.withColumns({"text": F.coalesce("text", F.lit("")), "n_inputs": F.coalesce("n_inputs", F.lit(0)), "seconds": F.coalesce("seconds", F.lit(0.0))}))
+        logs.append(_entry(after, RECHUNK, number, F.lit("paper"), F.col("n_inputs"), F.col("inputs"), "input_text", F.col("outputs"), "text"))
         pending = after.select("doc_id", "text")
     else:
         finish(pending, LAST, config.rounds + 1)
@@ -108,25 +136,26 @@ def reduce_all(summaries: DataFrame, backend: Callable[[], Summarizer] | None =
 def synthesise(papers: DataFrame, backend: Callable[[], Summarizer] | None = None, config: ReduceConfig | None = None, summary: SummaryConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """One summary of a stack (papers: ordinal, name, paper). One document's own is the stack's and costs no call.
 
-    The stack is one report that a person reads: its documents' summaries are one ordered text by design.
+    Its documents' summaries are one ordered text. A stack of more than ``RANGE`` documents is first reduced by ranges of
+    neighbours, so that no task has more of them.
     """
-    named = papers.select(F.lit(0).cast("long").alias("doc_id"), F.col("ordinal").alias("seq"), F.concat(F.lit("document"), F.col("ordinal").cast("string")).alias("chunk_key"), F.concat(F.lit("Document: "), "name", F.lit("\n\n"), strip(F.col("paper"))).alias("summary"), "paper")
+    named = papers.select(F.lit(0).cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("seq"), F.concat(F.lit("document"), F.col("ordinal").cast("string")).alias("chunk_key"), F.concat(F.lit("Document: "), "name", F.lit("\n\n"), strip(F.col("paper"))).alias("summary"), "paper")
     if papers.limit(2).count() < 2:
-        return named.select("doc_id", "paper"), papers.sparkSession.createDataFrame([], "doc_id long, stage string, round int, name string, n_inputs long, input_text string, output_text string")
-    return reduce_paper(named.drop("paper"), backend, config, summary)
+        return named.select("doc_id", "paper"), papers.sparkSession.createDataFrame([], LOG)
+    logs = []
+    while named.limit(RANGE + 1).count() > RANGE:
+        made, log = reduce_paper(named.withColumn("doc_id", F.floor(F.col("seq") / RANGE)), backend, config, summary)
+        logs.append(log)
+        named = made.select(F.lit(0).cast("long").alias("doc_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("range"), F.col("doc_id").cast("string")).alias("chunk_key"), F.col("paper").alias("summary"))
+    out, log = reduce_paper(named.select("doc_id", "seq", "chunk_key", "summary"), backend, config, summary)
+    return out, _union([*logs, log])
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names, or in one of our own where it names none."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """checkpoint() in the folder that the session names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     # The plan's last stage would run a second time for the checkpoint's files, and call the model again.
     kept = df.persist()
     out = kept.checkpoint()

@@ -250,7 +250,21 @@ def _chunked(spark, d, section: str, limit: int = 500, overlap: int = 40) -> Dat
     return out.select("doc_id", F.col("seq").cast("long").alias("seq"), "chunk_key", F.col("n_chars").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "truncated")
 
 
-@query()
+# A cut at the last full stop within 7200 characters, else at the last space, else there; 200 characters are taken again, from
+# the beginning of a word on. For texts without headings, which the table's are.
+_CHUNK_LIMIT = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_STRIP.format("replace(text, chr(13) || chr(10), chr(10))")} AS text FROM documents),
+c AS (SELECT doc_id, text, -1 AS seq, 0 AS pos, '' AS part, false AS over FROM t WHERE text <> ''
+UNION ALL SELECT doc_id, text, seq + 1, CASE WHEN whole THEN pos ELSE again + length(regexp_extract(substr(text, again + 1, 200), '^\\s*')) END, CASE WHEN whole THEN substr(text, pos + 1) ELSE {_STRIP.format("substr(text, pos + 1, best - pos)")} END, whole
+FROM (SELECT *, CASE WHEN regexp_matches(substr(text, back + 1, 1), '[\\p{{L}}\\p{{N}}]') THEN back - length(regexp_extract(substr(text, pos + 1, back - pos), '[\\p{{L}}\\p{{N}}]*$')) ELSE back END AS again
+FROM (SELECT *, greatest(pos, best - 200) AS back
+FROM (SELECT *, pos + CASE WHEN stop > 0 THEN 7200 - stop + 2 WHEN gap > 0 THEN 7200 - gap + 1 ELSE 7200 - CASE WHEN regexp_matches(substr(text, pos + 7201, 1), '[\\p{{L}}\\p{{N}}]') THEN length(regexp_extract(substr(text, pos + 2, 7199), '[\\p{{L}}\\p{{N}}]*$')) ELSE 0 END END AS best
+FROM (SELECT *, length(text) - pos <= 8000 AS whole, strpos(reverse(substr(text, pos + 2, 7200)), '.') AS stop, strpos(reverse(regexp_replace(substr(text, pos + 2, 7200), '\\s', ' ', 'g')), ' ') AS gap FROM c WHERE NOT over)))))
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 0 THEN 'chunk' ELSE 'chunk.' || seq END AS chunk_key, CAST(length(part) AS INTEGER) AS n_chars, md5(part) AS text_md5, false AS truncated FROM c WHERE seq >= 0
+"""
+
+
+@query(_CHUNK_LIMIT)
 def chunk_limit(spark, d):
     return C.chunk(_docs(spark, d), ChunkConfig()).select("doc_id", "seq", "chunk_key", "n_chars", F.md5("text").alias("text_md5"), "truncated")
 
@@ -406,9 +420,21 @@ def reduction_log(spark, d):
 
 @query()
 def stack_synthesis(spark, d):
-    """A stack is what a report is about, not a corpus: the benchmark's items."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("ordinal"), F.concat(F.lit("item "), F.col("item_id")).alias("name"), F.col("text").alias("paper"))
-    return R.synthesise(items, lambda: Lead(2), ReduceConfig(char_limit=2000, overlap=20))[0].select("doc_id", "paper")
+    """All documents' final summaries as one stack."""
+    papers = _reduced(spark, d)[1].select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("document "), F.col("doc_id")).alias("name"), "paper")
+    return R.synthesise(papers, lambda: Lead(2), ReduceConfig(char_limit=20_000, overlap=20))[0].select("doc_id", "paper")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id // 13 AS stack, string_agg('document ' || doc_id || ':' || chr(10) || {_STRIP.format("text")}, chr(10) || chr(10) ORDER BY doc_id) AS papers FROM documents GROUP BY 1)
+SELECT stack AS doc_id, md5({_STRIP.format("'Survey Synthesis:' || chr(10) || 'Stack ' || stack || chr(10) || chr(10) || 'Individual Document Summaries:' || chr(10) || papers")}) AS context FROM p"""
+)
+def report_context(spark, d):
+    """The context of stacks of 13 documents each."""
+    stack = F.floor(F.col("doc_id") / 13)
+    rows = _docs(spark, d).select(stack.alias("stack"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("document "), F.col("doc_id")).alias("name"), F.col("text").alias("paper"))
+    context = report.context_text(F.concat(F.lit(" Stack "), F.max("stack").cast("string")))
+    return rows.groupBy("stack").agg(F.md5(context).alias("context")).withColumnRenamed("stack", "doc_id")
 
 
 @query(
@@ -436,7 +462,7 @@ def unique_names(spark, d):
     return N.unique_names(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), "url", "page_id").select("page_id", "name")
 
 
-@query()
+@query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(translate({_BASE}, '_-', '  ')), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '') AS name FROM pages")
 def display_names(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", N.display_name(F.col("url")).alias("name"))
 

@@ -57,6 +57,12 @@ def key_blocks(key: str = "chunk_key", text: str = "text", order: str = "seq") -
     return F.array_join(F.transform(rows, lambda r: r["t"]), "")
 
 
+def context_text(combined: Column, name: str = "name", paper: str = "paper", order: str = "ordinal") -> Column:
+    """What the introduction and the conclusion are written from, as an aggregate over documents: the stack's summary and theirs."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(name), F.lit(":\n"), strip(F.col(paper))).alias("t"))))
+    return strip(F.concat(F.lit("Survey Synthesis:\n"), strip(combined), F.lit("\n\nIndividual Document Summaries:\n"), F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n")))
+
+
 def _layout(title, author, introduction, sections: Sections, conclusion, abstract):
     """(style, text) of the parts: 0 title, 1 heading, 2 paragraph."""
     yield 0, title.strip()
@@ -144,19 +150,3 @@ def export(path: str, kind: str, *report, abstract: str = "") -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as f:
         f.write(made)
-
-
-def logged_block(label: str, text: str) -> str:
-    return f"{label}\n{RULE}\nchars: {len(text)}\nwords: {len(text.split())}\n{text}\n\n"
-
-
-def data_report(metrics: Sequence[dict], log: Sequence[dict], texts: Sequence[tuple[str, str]]) -> str:
-    """The evaluation file: throughput, texts and the reduction log."""
-    out = ["Throughput\n"]
-    for m in metrics:
-        out.append(f"{m['run_name']}: {m['elapsed_seconds']:.4f} s, {m['chars_per_second']:.2f} chars/s, {m['words_per_second']:.2f} words/s, {m['chunks_per_second']:.4f} chunks/s\n")
-    out.append("\n")
-    out += [logged_block(label, text) for label, text in texts]
-    out.append("Reductions\n")
-    out += [f"{e['stage']}, round {e['round']}, {e['name']}\n" + logged_block("Input", e["input_text"]) + logged_block("Output", e["output_text"]) for e in log] or ["None recorded.\n"]
-    return "".join(out)

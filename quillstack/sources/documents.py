@@ -74,10 +74,17 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """doc_id, ordinal, path, name, display, text, in the order of ``paths``, each of which is one file."""
-    listed = None
-    for k, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("ordinal", F.lit(k + 1))
-        listed = one if listed is None else listed.unionByName(one)
+    # One scan for all, however many; a path that is listed twice is two documents.
+    files = spark.read.format("binaryFile").load(sorted(set(paths))).select("path", "content")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def qualified(path: str) -> str:
+        where = fs.Path(path)
+        return where.getFileSystem(conf).makeQualified(where).toString()
+
+    places = spark.createDataFrame([(k + 1, qualified(p)) for k, p in enumerate(paths)], "ordinal int, __path string")
+    listed = files.join(F.broadcast(places), F.col("path") == F.col("__path")).drop("__path")
     named = unique_names(with_text(listed).drop("content"))
     return named.select(F.col("ordinal").cast("long").alias("doc_id"), "ordinal", "path", "name", display_name(F.col("path")).alias("display"), "text")
 

@@ -1,6 +1,7 @@
 """Sections, chunks, orders, reduction, sources, sinks and the stream."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -159,6 +160,88 @@ def test_sources(spark, tmp_path):
         D.read_files(spark, [str(tmp_path / "d.rtf")]).collect()
 
 
+def test_the_report_hears_its_prompts(spark, tmp_path):
+    class Parrot:
+        """Answers with the first words of what it is asked."""
+
+        def configure(self, config):
+            self.top_p = config.top_p
+
+        def generate(self, batch, max_tokens):
+            return [f"{m[-1]['content'].partition(chr(10))[2][:9]} {max_tokens} {self.top_p}." for m in batch]
+
+    (tmp_path / "a.txt").write_text("One.")
+    (tmp_path / "b.txt").write_text("Two.")
+    options = ReportConfig(output=str(tmp_path / "out"), types=("TXT",), survey_prompt="SurveyXXX now", introduction_prompt="BeginXXXX now", conclusion="  ", title="T", name="n")
+    run(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], StackConfig(report=options, summary=SummaryConfig(top_p=0.5)), Parrot)
+    text = (tmp_path / "out" / "n_survey.txt").read_text()
+    assert "SurveyXXX 220 0.5." in text and "Introduction\nBeginXXXX 260 0.5." in text and "This ends the summary of the documents." in text
+
+
+def test_polish_and_repair_are_edits():
+    asked = []
+
+    class Editor:
+        def generate(self, batch, max_tokens):
+            asked.extend(m[0]["content"] for m in batch)
+            return ["" if "grammar, spelling" in m[-1]["content"] and "keep" in m[-1]["content"] else "edited" if "editor" in m[0]["content"] else "漢" if "bad" in m[-1]["content"] else m[-1]["content"].partition("Text:\n")[2][:4] for m in batch]
+
+    assert summarise_batch(["good", "keep", "bad"], Editor(), SummaryConfig(retries=1, polish=True)) == ["edited", "keep", "edited"]
+    assert sum("editor" in a for a in asked) == 3
+
+
+def test_local_model_options():
+    from quillstack.backends import local_model as M
+
+    class Old:
+        def apply_chat_template(self, messages, tokenize, add_generation_prompt):
+            return f"{len(messages)} {tokenize} {add_generation_prompt}"
+
+    assert M.render(Old(), [{}]) == "1 False True" and M.device_of((3, 4)) == 3
+    assert "top_p" not in M.sampling(SummaryConfig(), 5) and M.sampling(SummaryConfig(sample=True, top_p=0.4), 5)["top_p"] == 0.4
+    with pytest.raises((RuntimeError, ValueError)):
+        M.LocalModel().generate([[]], 5)
+
+
+def test_large_stacks_are_reduced_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE", 3)
+    papers = spark.createDataFrame([(k, f"n{k}", f"P{k}.") for k in range(10)], "ordinal int, name string, paper string")
+    out, log = R.synthesise(papers, Echo, ReduceConfig(char_limit=10_000))
+    text = out.first()["paper"]
+    assert [text.index(f"P{k}.") for k in range(10)] == sorted(text.index(f"P{k}.") for k in range(10)) and log.count() == 4 + 2 + 1
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    names = [f"{k}/same.txt" for k in range(5)] + ["b c.txt"]
+    for k, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(f"text {k}")
+    df = D.read_files(spark, [str(tmp_path / n) for n in [*names, names[0]]])
+    assert [(r.ordinal, r.name, r.text) for r in df.orderBy("ordinal").collect()] == [(k + 1, f"same_{k}" if k else "same", f"text {k}") for k in range(5)] + [(6, "b_c", "text 5"), (7, "same_5", "text 0")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("binaryFile") <= 3  # the scan, and the ranges' counts of it
+
+
+def test_own_columns_survive(spark):
+    from quillstack.operators.clean import clean
+
+    df = spark.createDataFrame([(1, "Um, a. a", "mine", 7)], "doc_id long, text string, folded string, other int")
+    got = clean(df).first()
+    assert got.folded == "mine" and got.other == 7 and got.cleaned_text == ", a. a"
+    assert clean(df.limit(0)).count() == 0
+
+
+def test_cut_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "\n".join(f"plain words in line {k}" for k in range(n))
+        began = time.perf_counter()
+        C.cut(text, ChunkConfig())
+        took.append(time.perf_counter() - began)
+    assert took[1] < 9 * took[0]
+
+
 def test_run_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -167,7 +250,13 @@ def test_run_and_stream(spark, tmp_path):
     out = run(spark, [str(folder / "one.txt"), str(folder / "two.txt")], StackConfig(report=ReportConfig(output=str(tmp_path / "out"), types=("txt", "docx", "pdf"))), lambda: Lead(2))
     text = open(next(p for p in out if p.endswith("_survey.txt"))).read()
     assert "Survey Summary" in text and "Two\nBirds fly south" in text and text.startswith("Multi File Survey Report")
-    assert "chunks/s" in open(next(p for p in out if p.endswith("data.txt"))).read()
+    data = open(next(p for p in out if p.endswith("data.txt"))).read()
+    assert "chunks/s" in data and "Input files: 2" in data and "Words before and after cleaning: 17, 17" in data and "- chapter One: 47 characters" in data and "Run: generated-conclusion" in data
+    assert data.index("Before\n" + "-" * 40 + "\nCHAPTER One") < data.index("Reductions\n") < data.index("Stage: paper-final-reduction") < data.rindex("Conclusion\n")
+    own = {os.path.basename(p) for p in out}
+    assert {f"{n}_{k}.txt" for n in ("one", "two") for k in ("cleaned", "chunks", "summaries")} | {"one_final.txt", "two_final.txt", "data.txt"} <= own
+    assert (tmp_path / "out" / "two_cleaned.txt").read_text() == "Birds fly south. They rest in marshes." and "chapter Two\n" + "-" * 40 in (tmp_path / "out" / "one_chunks.txt").read_text()
+    assert "cleaned" in (tmp_path / "out" / "run.log").read_text()
 
     stream = stream_chunks(stream_files(spark, str(folder)), cutting=ChunkConfig(60, overlap=0))
     going = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "state")).start()
