@@ -716,7 +716,73 @@ def test_pipeline(spark):
         docs = after
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(not secrets.find(t, secrets.trained())[0] for t in texts.values())
-    near = brute_near([(i, t) for i, t in texts.items() if i % 3 == 0], 5, 80)
-    assert all(kept for _, _, kept in near.values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, f"{DATA}/sf0.01")
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(texts)
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage's decisions on all of the smallest table."""
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), common.table(spark, SMALL, "documents")
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    model = toxicity.fit(docs, common.table(spark, SMALL, "labels"))
+    weights = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+    of = lambda t: set(toxicity._slots(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+    given = texts(docs)
+    docs = common.materialize(stages["toxicity"](spark, docs, SMALL), "a")
+    assert texts(docs) == {i: t for i, t in given.items() if model.bias + sum(weights.get(x, 0.0) for x in of(t or "")) < 0}
+
+    given = texts(docs)
+    docs = common.materialize(stages["near_duplicates"](spark, docs, SMALL), "b")
+    near = brute_near(list(given.items()), 5, 80)
+    assert texts(docs) == {i: t for i, t in given.items() if near[i][2]} and len(given) > docs.count()
+
+    given = texts(docs)
+    docs = common.materialize(stages["decontamination"](spark, docs, SMALL), "c")
+    runs = lambda t, n: {tuple(w[k : k + n]) for w in [re.findall(r"[^\W_]+", t.lower())] for k in range(len(w) - n + 1)}
+    bench = set().union(*(runs(r.text, 13) for r in common.table(spark, SMALL, "benchmark").collect()))
+    left = texts(docs)
+    assert all(i not in left for i, t in given.items() if runs(t or "", 13) & bench)
+    eight = set().union(*(runs(re.sub(r"\b\w*\d\w*", "0", r.text), 3) for r in common.table(spark, SMALL, "benchmark").collect()))
+    assert all(runs(re.sub(r"\b\w*\d\w*", "0", given[i]), 3) & eight for i in set(given) - set(left))
+
+    given = left
+    docs = common.materialize(stages["secrets"](spark, docs, SMALL), "d")
+    expected = {}
+    for i, t in given.items():
+        out, at = "", 0
+        for kind, a, b in sorted(sum(secrets.find(t, secrets.trained()), []), key=lambda s: (s[1], -s[2])):
+            out, at = (out + t[at:a] + f"[{kind}]", b) if a >= at else (out, max(at, b))
+        expected[i] = out + t[at:]
+    assert texts(docs) == expected and all(r.n_chars == len(r.text) for r in docs.collect())
+
+    exact, got = Tokenizer.from_file(VOCABULARY), defaultdict(list)
+    for r in stages["packing"](spark, docs, SMALL).orderBy("start").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {i: exact.encode(t, add_special_tokens=False).ids + [1] for i, t in expected.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    copy = "one two three four five six seven eight nine ten"
+    data = [(1, None, 0), (2, "", 0), (None, copy, 7), (3, copy, 7), (4, copy.upper(), 7), (4, copy.upper(), 7), (5, "token = abcdef123456 " + "w " * 40_000, 1), (6, copy + " eleven twelve. The bench item goes on for more than thirteen tokens in all of it yes", 2), (7, " \n", 3)]
+    docs = spark.createDataFrame([(*x, "a", "b", 1, "c", True) for x in data], "doc_id long, text string, n_chars int, __gone string, component_id string, label int, words string, kept boolean")
+    spark.createDataFrame([(3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "The bench item goes on for more than thirteen tokens in all of it yes")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.collect() == []
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.dtypes == docs.dtypes
+            kept[name] = sorted(out.select("doc_id").toPandas()["doc_id"].fillna(-1).astype(int).tolist())
+        else:
+            assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 5, 6, 7}
+    everything = [-1, 1, 2, 3, 4, 4, 5, 6, 7]
+    assert kept == {"toxicity": everything, "near_duplicates": [-1, 1, 2, 3, 5, 6, 7], "decontamination": [-1, 1, 2, 3, 4, 4, 5, 7], "secrets": everything}
+    masked = {r.doc_id: r for r in corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).where("doc_id in (1, 5)").collect()}
+    assert masked[1].text is None and masked[1].n_chars == 0 and masked[5].text.startswith("[assign] w w") and masked[5].n_chars == len(masked[5].text)
