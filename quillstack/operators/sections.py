@@ -1,4 +1,8 @@
-"""Headings: which lines of a text are ones, and what a text's first lines name."""
+"""Headings: which lines of a text are ones, and what a text's first lines name.
+
+Defined results: a null or empty text has none; rows that repeat a doc_id have to be one text, as lines are told apart by
+doc_id; extra columns are ignored; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,13 +21,17 @@ HEADINGS = (
 )
 
 
+#: Where a line ends, as the chunker's ``str.splitlines`` has it after \r\n has become \n.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def headings(df: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, line, start (offset of the line), kind, name of every heading line.
 
     A line that is no heading by its words is a paragraph's if it is indented or follows a blank line; its name
     counts the headings up to it.
     """
-    lines = df.select("doc_id", F.posexplode(F.split(column, "\n")).alias("line", "raw"))
+    lines = df.select("doc_id", F.posexplode(F.split(F.replace(F.col(column), F.lit("\r\n"), F.lit("\n")), LINE_END)).alias("line", "raw"))
     order = Window.partitionBy("doc_id").orderBy("line")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     bare = strip(F.col("raw"))

@@ -2,6 +2,7 @@
 
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -28,6 +29,25 @@ def test_headings(spark):
     assert all(text[a:].split("\n")[0] for a, _, _ in got)
 
 
+def test_headings_are_the_chunkers(spark):
+    r = random.Random(4)
+    pieces = ["CHAPTER I", "part two x", "IV THE END", "Page 3", "12", "  page 4", "plain", "    indented", "\ttab", "", "", " "]
+    texts = ["".join(r.choice(pieces) + r.choice(("\n", "\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\x1d")) for _ in range(r.randrange(12))).strip() for _ in range(300)]
+    got = {}
+    for x in S.headings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "line").collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.kind, x.name))
+    for k, text in enumerate(texts):
+        expected, total = [], 0
+        for line in C._Document(text, "chapter").lines:
+            kind, name = line.kind, line.name
+            if kind is None and line.bare and (line.raw.startswith(("    ", "\t")) or line.gap):
+                kind, name = "paragraph", str(total + 1)
+            if kind:
+                total += 1
+                expected.append((line.start, kind, name))
+        assert got.get(k, []) == expected, text
+
+
 def test_first_section(spark):
     df = spark.createDataFrame([("\n CHAPTER I. x",), ("a\nb\nc\nchapter 4",), ("7\nx",)], "text string")
     assert [r[0] and tuple(r[0]) for r in df.select(S.first_section(F.col("text"), "chapter")).collect()] == [("chapter", "I."), None, None]
