@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import give_back, texts
 from .spans import encode_spans, mask, overlaps, sha256_hex
 
 BASE = ("assign", "access", "hex")
@@ -475,7 +475,10 @@ def trained(rounds: int = 70, penalty: float = 0.02, least: int = 4) -> Tagger:
         for x, g, s in zip((w, trans, start), grads, square, strict=True):
             s += g * g
             x += 0.5 * g / np.sqrt(s)
-    return Tagger({f: tuple(w[i].tolist()) for f, i in names.items()}, trans, start)
+    tagger = Tagger({f: tuple(w[i].tolist()) for f, i in names.items()}, trans, start)
+    del sentences, cell, feature, emit, fore, back, belief, joint, miss, grads, one_hot
+    give_back()
+    return tagger
 
 
 def find(text: str, tagger: Tagger) -> tuple[list, list]:

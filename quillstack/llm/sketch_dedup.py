@@ -10,7 +10,7 @@ are linked if the Jaccard similarity of their sets reaches ``percent`` hundredth
    linked one, plus one; passages that many documents have in common stay out of the lists.
 3. A list's members are first compared with one member, of the highest counts of retained values, which lists of one
    group mostly agree on. Candidates pass if the similarity that the union's sketch estimates is not clearly too low,
-   and are verified on the full sets. Members linked to one hub share a label.
+   and are verified on the full sets. Members of one component, as far as links are known, share a label.
 4. In what is left only members of different labels are still compared. Lists of up to ``LIST`` members are joined
    with themselves. In longer ones members are compared by their differences from the list's hub (``_differences``):
    two members of which one is not linked to the hub must share a part of both's differences that can be counted, so
@@ -161,15 +161,10 @@ class _Verifier:
         return materialize(full.select("a", "b", "sa", "sb").mapInArrow(_verified(self.percent), "a long, b long"), "links")
 
 
-def _hooked(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """entries with ``label`` replaced by a hub that ``rep`` is linked to (or by that one's), if there is one. links: a (the hub), b.
-
-    Equal labels mean one component; the other way round need not hold.
-    """
-    near = links.where("a <> b").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
-    far = near.select(F.col("node").alias("__hub"), F.col("hub").alias("top"))
-    near = near.join(far, F.col("hub") == F.col("__hub"), "left").select(F.col("node").alias("of"), F.coalesce("top", "hub").alias("to"))
-    return entries.join(near, F.col("rep") == F.col("of"), "left").withColumn("label", F.coalesce("to", "label")).drop("of", "to")
+def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """entries with ``label``: the component of ``rep`` as far as links have been found."""
+    of = found.select(F.col("node").alias("__node"), F.col("component").alias("label"))
+    return entries.join(of, F.col("rep") == F.col("__node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("__node")
 
 
 def _mixed(entries: DataFrame, *keys: str) -> DataFrame:
@@ -178,27 +173,27 @@ def _mixed(entries: DataFrame, *keys: str) -> DataFrame:
 
 
 def _difference(percent: int):
-    """hub, rep, set, the hub's set -> with sizes, whether they are linked, and what only one of them has."""
+    """hub, rep, label, set, the hub's set -> with sizes, whether they are linked, and what only one of them has."""
 
     def run(batches):
         for batch in batches:
             n, of, linked, delta = [], [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 d = np.setxor1d(x, y, assume_unique=True)
                 shared = (len(x) + len(y) - len(d)) // 2
                 n.append(len(x)), of.append(len(y)), delta.append(d.view(np.int64))
                 linked.append(100 * shared >= percent * (shared + len(d)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["hub", "rep", "n", "nh", "linked", "delta"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["hub", "rep", "label", "n", "nh", "linked", "delta"])
 
     return run
 
 
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub, rep, n, nh, linked, delta: each member's shingles that its hub has not, and the other way round."""
+    """hub, rep, label, n, nh, linked, delta: each member's shingles that its hub has not, and the other way round."""
     of = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
-    pairs = groups.join(of("rep"), "rep").join(of("hub"), "hub").select("hub", "rep", "set_rep", "set_hub")
-    return pairs.mapInArrow(_difference(percent), "hub long, rep long, n long, nh long, linked boolean, delta array<long>")
+    pairs = groups.join(of("rep"), "rep").join(of("hub"), "hub").select("hub", "rep", "label", "set_rep", "set_hub")
+    return pairs.mapInArrow(_difference(percent), "hub long, rep long, label long, n long, nh long, linked boolean, delta array<long>")
 
 
 def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
@@ -249,15 +244,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = [verify(entries.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))]
     # Lists whose members are all of one label have nothing left to find.
-    entries = _hooked(entries.withColumn("label", F.col("rep")), links[0])
-    left = materialize(entries.join(_mixed(entries, "value"), "value", "left_semi").drop("label"), "mixed")
-    large = left.where(F.col("size") > LIST).select("hub", "rep").distinct()
+    entries = _labelled(entries, components(links[0]))
+    left = materialize(entries.join(_mixed(entries, "value"), "value", "left_semi"), "mixed")
+    large = left.where(F.col("size") > LIST).select("hub", "rep", "label").distinct()
     several = not large.isEmpty()
     if several:
         deltas = materialize(_differences(large, sets, percent), "differences")
         links.append(deltas.where("linked and hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        deltas = _hooked(deltas.withColumn("label", F.col("rep")), links[0].unionByName(links[1]))
-    small = _hooked(left.where(F.col("size") <= LIST).withColumn("label", F.col("rep")), links[0])
+    small = left.where(F.col("size") <= LIST)
     other = small.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     pairs = small.join(other, "value").where((F.col("a") < F.col("rep")) & (F.col("label") != F.col("la")) & _alike(percent)).select("a", F.col("rep").alias("b"))
     if not several:
@@ -269,8 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         nearest = met.groupBy("hub", "value").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct("d", "rep")).alias("p")).select("hub", "value", "p.*")
         picks = met.join(nearest, ["hub", "value"]).where((F.col("label") != F.col("la")) & _alike(percent)).select("a", F.col("rep").alias("b"))
         links.append(verify(pairs.unionByName(picks)))
-        found = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("of"), F.col("component").alias("to"))
-        met = met.join(found, F.col("rep") == F.col("of"), "left").withColumn("label", F.coalesce("to", "rep")).drop("of", "to")
+        met = _labelled(met.drop("label"), components(reduce(DataFrame.unionByName, links)))
         links.append(verify(_meetings(materialize(met.join(_mixed(met, "hub", "value"), ["hub", "value"], "left_semi"), "met"), percent)))
     found = components(reduce(DataFrame.unionByName, links))
 

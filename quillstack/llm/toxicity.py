@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, scramble, texts, utf8, word_hashes
+from .common import blocks, byte_codes, give_back, scramble, texts, utf8, word_hashes
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -153,7 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     if not kept:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
     kept.sort(key=lambda r: r[0])
-    return ftrl([r[2] for r in kept], np.array([r[1] for r in kept], float))
+    model = ftrl([r[2] for r in kept], np.array([r[1] for r in kept], float))
+    del kept
+    give_back()
+    return model
 
 
 def scorer(model: Model):

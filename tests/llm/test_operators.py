@@ -473,6 +473,7 @@ def brute_near(data, width, percent):
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_copies(spark, width, percent, monkeypatch):
     monkeypatch.setattr(sketch_dedup, "LIST", 6)  # so that a fixture has large lists
+    monkeypatch.setattr(components, "LOCAL_LINKS", 5 if width == 3 else 200_000)
     r = random.Random(width)
     vocabulary = [f"w{i}" for i in range(300)]
     passage = [r.choice(vocabulary) for _ in range(60)]
@@ -508,7 +509,9 @@ def test_near_copies_at_the_threshold(spark):
     assert got == {1: 1, 2: 1}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 8), (2, 5), (20, 9), *((k + 1, k) for k in range(100, 140))]
     got = dict(rows(components.components(spark.createDataFrame(links, "a long, b long"))))
     assert got == {3: 2, 4: 2, 5: 2, 9: 8, 20: 8} | {k: 100 for k in range(101, 141)}
