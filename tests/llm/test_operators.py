@@ -675,6 +675,17 @@ def test_encoder_is_the_tokenizer(spark):
         assert encoder.encode(text.encode()) == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:80]
 
 
+def test_encoder_on_words_of_any_letters():
+    exact, r = Tokenizer.from_file(VOCABULARY), random.Random(10)
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    for k in range(60):
+        encoder = packing.ChunkEncoder(VOCABULARY)
+        pool = letters if k % 2 else [c for c in letters if ord(c) < 0x2000]
+        words = ["".join(r.choice(pool if r.random() < 0.6 else "abcxyz") for _ in range(r.randrange(1, 7))) + r.choice(("", ",", "...", "?!")) for _ in range(80)]
+        for text in (" ".join(words), " ".join(w.upper() for w in words)):
+            assert encoder.encode(text.encode()) == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing(spark):
     docs = common.table(spark, SMALL, "documents")
     exact = Tokenizer.from_file(VOCABULARY)
