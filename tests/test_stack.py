@@ -169,6 +169,21 @@ def test_report_files():
         report.export("x", "odt", *parts)
 
 
+def test_pdf_text(monkeypatch):
+    import sys
+    import types
+
+    class Reader:
+        def __init__(self, file):
+            self.pages = [types.SimpleNamespace(extract_text=lambda t=t: t) for t in file.read().decode().split("|")]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert D.pdf_text(b"one||two") == "one\ntwo\n"
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError, match="pypdf"):
+        D.pdf_text(b"")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é\r\nb".encode())
     (tmp_path / "b.txt").write_bytes(b"caf\xe9 \x80")
