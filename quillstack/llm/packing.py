@@ -46,7 +46,8 @@ class ChunkEncoder:
     The vocabulary's pattern never matches across ASCII white space and drops it, so a text's ids are those
     of its white-space separated chunks, one after another. A chunk of letters and trailing punctuation is
     two matches, each encoded for itself; the letters that a text has anew are encoded in one call and told
-    apart by the vocabulary's end-of-word marks. Only texts that may spell a special token, which could span
+    apart by the vocabulary's end-of-word marks, or by their places where they aren't all ASCII: other letters may
+    become several words, or none. Only texts that may spell a special token, which could span
     chunks, are encoded whole.
     """
 
@@ -89,17 +90,26 @@ class ChunkEncoder:
                         fresh[key] = None
                 else:
                     self.seen[c] = self._ids(c).tobytes()
-        if fresh:
-            ids = self._ids(b" ".join(fresh))
+        plain = [key for key in fresh if key.isascii()]
+        if plain:
+            ids = self._ids(b" ".join(plain))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(fresh):
+            if len(cuts) == len(plain):
                 a = 0
-                for key, b in zip(fresh, cuts.tolist(), strict=True):
+                for key, b in zip(plain, cuts.tolist(), strict=True):
                     self.words[key] = ids[a:b].tobytes()
                     a = b
             else:
-                for key in fresh:
+                for key in plain:
                     self.words[key] = self._ids(key).tobytes()
+        if len(plain) < len(fresh):
+            others = [key for key in fresh if not key.isascii()]
+            texts = [key.decode("utf-8", "replace") for key in others]
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, cuts = np.array(found.ids, "<u4"), np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
+            for key, a, b in zip(others, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.words[key] = ids[a:b].tobytes()
         for c, key, tail in parts:
             if tail and tail not in self.words:
                 self.words[tail] = self._ids(tail).tobytes()
