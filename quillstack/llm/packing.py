@@ -13,6 +13,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -84,7 +85,8 @@ class ChunkEncoder:
             if len(c) <= CACHE_BYTES:
                 core = c.rstrip(b".,!?;:")
                 key = core.lower()
-                if core and (core.isascii() and core.isalpha() or key.decode("utf-8", "replace").isalpha()):
+                # Some letters are none any more once they are normalised, and would run on into the punctuation.
+                if core and (core.isalpha() if core.isascii() else unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha()):
                     parts.append((c, key, c[len(core) :]))
                     if key not in self.words:
                         fresh[key] = None
