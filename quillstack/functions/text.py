@@ -41,6 +41,8 @@ def _folds() -> tuple[str, str, str]:
     """Characters whose compatibility decomposition keeps one ASCII character, those characters, and those that keep more."""
     ones, to, many = [], [], []
     for code in range(128, sys.maxunicode + 1):
+        if not unicodedata.decomposition(chr(code)):
+            continue  # what it decomposes to, if to anything (Hangul), isn't ASCII
         kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(kept) == 1:
             ones.append(chr(code)), to.append(kept)
@@ -65,19 +67,25 @@ def fold_ascii(x: Column) -> Column:
     return F.when(~x.rlike(r"[^\x00-\x7F]"), x).otherwise(F.coalesce(unfolded, F.regexp_replace(F.translate(x, ones, to), r"[^\x00-\x7F]", "")))
 
 
+def _bracketed(x: Column) -> Column:
+    """Every citation has a bracket, most texts have none."""
+    return x.contains("[") | x.contains("(")
+
+
 def drop_citations(x: Column) -> Column:
+    out = x
     for pattern in CITATIONS:
-        x = F.regexp_replace(x, pattern, " ")
-    return x
+        out = F.regexp_replace(out, pattern, " ")
+    return F.when(_bracketed(x), out).otherwise(x)
 
 
 def citations(x: Column) -> Column:
     """What ``drop_citations`` drops: all hits of the first pattern, then of the second in what is left, and so on."""
-    found = []
+    found, rest = [], x
     for pattern in CITATIONS:
-        found.append(F.regexp_extract_all(x, F.lit(pattern), 0))
-        x = F.regexp_replace(x, pattern, " ")
-    return F.concat(*found)
+        found.append(F.regexp_extract_all(rest, F.lit(pattern), 0))
+        rest = F.regexp_replace(rest, pattern, " ")
+    return F.when(_bracketed(x), F.concat(*found)).otherwise(F.array().cast("array<string>"))
 
 
 def drop_symbols(x: Column) -> Column:

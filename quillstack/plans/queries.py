@@ -21,6 +21,7 @@ from ..operators import reduce as R
 from ..operators import sections as S
 from ..operators.summarize import Lead, summarise
 from ..sinks import report
+from ..storage import read_parquet
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,11 +84,11 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *more)
+    return read_parquet(spark, f"{d}/documents.parquet").select("doc_id", "text", *more)
 
 
 def _chats(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/conversations.parquet")
+    return read_parquet(spark, f"{d}/conversations.parquet")
 
 
 # Cleaning ------------------------------------------------------------------------------------------------
@@ -454,17 +455,17 @@ _SAFE = f"coalesce(nullif(regexp_replace(regexp_replace({_BASE}, '[^A-Za-z0-9_-]
 
 @query(f"SELECT page_id, {_SAFE} AS name FROM pages")
 def safe_names(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", N.safe_name(F.col("url")).alias("name"))
+    return read_parquet(spark, f"{d}/pages.parquet").select("page_id", N.safe_name(F.col("url")).alias("name"))
 
 
 @query(f"WITH n AS (SELECT page_id, {_SAFE} AS name FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS nth FROM n) SELECT page_id, CASE WHEN nth = 0 THEN name ELSE name || '_' || nth END AS name FROM r")
 def unique_names(spark, d):
-    return N.unique_names(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), "url", "page_id").select("page_id", "name")
+    return N.unique_names(read_parquet(spark, f"{d}/pages.parquet").select("page_id", "url"), "url", "page_id").select("page_id", "name")
 
 
 @query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(translate({_BASE}, '_-', '  ')), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '') AS name FROM pages")
 def display_names(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", N.display_name(F.col("url")).alias("name"))
+    return read_parquet(spark, f"{d}/pages.parquet").select("page_id", N.display_name(F.col("url")).alias("name"))
 
 
 _BLOCK = f"chunk_key || chr(10) || '{report.RULE}' || chr(10) || summary || chr(10) || chr(10)"

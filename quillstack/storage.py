@@ -1,10 +1,13 @@
-"""Where intermediate tables go."""
+"""Reading tables, and where intermediate ones go."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: A table of fewer files than cores is dealt out if it has so many bytes at least, and at most as many for each core.
+DEAL_BYTES = 1 << 20, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="quillstack-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.quillstack"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A row group is one task's, so a few small files would keep a few cores busy: their rows are dealt out.
+
+    Tables of at least as many files as cores, and large ones, are read as they are.
+    """
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
+    least, most = DEAL_BYTES
+    return df.repartition(cores) if held.getFileCount() < cores and least < held.getLength() < most * cores else df

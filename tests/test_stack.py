@@ -169,6 +169,20 @@ def test_report_files():
         report.export("x", "odt", *parts)
 
 
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    from quillstack import storage
+
+    spark.range(5000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert storage.read_parquet(spark, f"{tmp_path}/one").rdd.getNumPartitions() == 1  # too small to matter
+    monkeypatch.setattr(storage, "DEAL_BYTES", (1000, 1 << 20))
+    dealt = storage.read_parquet(spark, f"{tmp_path}/one")
+    assert dealt.rdd.getNumPartitions() == 4 and dealt.count() == 5000
+    plan = dealt.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
+    spark.range(5000).repartition(4).write.parquet(f"{tmp_path}/many")
+    assert "Exchange" not in storage.read_parquet(spark, f"{tmp_path}/many")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pdf_text(monkeypatch):
     import sys
     import types
