@@ -12,11 +12,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import read_parquet, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 #: A worker gets its rows in Arrow batches of so many bytes at most (or of one row), however long the texts are.
@@ -58,9 +58,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Returns memory that a fit on the driver has used and freed to the system, where its C library can."""
-    gc.collect()
+def trim() -> None:
+    """Returns memory that is free to the system, where its C library can; a process else keeps what it once took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -68,6 +67,22 @@ def give_back() -> None:
         pass
 
 
+def give_back() -> None:
+    """The same after a fit, whose parts may hold each other."""
+    gc.collect()
+    trim()
+
+
+def trimmed(run):
+    """An Arrow function whose worker is small again after each task: workers live on, several on an executor."""
+
+    def of(batches):
+        yield from run(batches)
+        trim()
+
+    return of
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes intermediate tables that nothing reads any more."""
     for df in tables:

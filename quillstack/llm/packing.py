@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, utf8
+from .common import texts, trimmed, utf8
 
 MAX_TOKENS = 2048
 #: Chunks, and words, whose ids a worker keeps for good; frequent ones come early. As many as CACHE_YOUNG later ones
 #: are kept until they are full, so a worker's memory is bounded.
-CACHE_CHUNKS, CACHE_YOUNG = 400_000, 100_000
+CACHE_CHUNKS, CACHE_YOUNG = 120_000, 40_000
 #: Longer chunks are encoded each time and never kept.
 CACHE_BYTES = 48
 
@@ -84,7 +84,7 @@ class ChunkEncoder:
         for c in chunks:
             if len(c) <= CACHE_BYTES:
                 core = c.rstrip(b".,!?;:")
-                key = core.lower()
+                key = c if (key := core.lower()) == c else key
                 # Some letters are none any more once they are normalised, and would run on into the punctuation.
                 if core and (core.isalpha() if core.isascii() else unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha()):
                     parts.append((c, key, c[len(core) :]))
@@ -163,5 +163,5 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    pieces = texts(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    pieces = texts(docs).mapInArrow(trimmed(cut), PIECES + (", ids binary" if with_ids else ""))
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

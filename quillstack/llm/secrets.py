@@ -26,18 +26,19 @@ import random
 import re
 from collections import Counter
 from functools import lru_cache
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import give_back, texts
+from .common import give_back, texts, trim
 from .spans import encode_spans, mask, overlaps, sha256_hex
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "crf")
 #: Chunks whose verdict a worker remembers; at this many it starts anew, so its memory is bounded.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 60_000
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -118,7 +119,7 @@ def _own(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-_remembered = lru_cache(maxsize=50_000)(_own)
+_remembered = lru_cache(maxsize=20_000)(lambda token: tuple(map(intern, _own(token))))  # equal names are kept once
 
 
 #: Words with a weight of their own; others count by their make.
@@ -514,6 +515,8 @@ def masker(tagger: Tagger):
     """An Arrow function: texts with every secret replaced by its kind; nulls stay null."""
 
     def masked(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else mask(t, sum(find(t, tagger), [])) for t in column.to_pylist()], pa.string())
+        out = pa.array([None if t is None else mask(t, sum(find(t, tagger), [])) for t in column.to_pylist()], pa.string())
+        trim()
+        return out
 
     return masked

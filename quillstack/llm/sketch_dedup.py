@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, blocks, byte_codes, materialize, scramble, texts, utf8, word_hashes
+from .common import SPACES, blocks, byte_codes, materialize, scramble, texts, trimmed, utf8, word_hashes
 from .components import components
 
 K = 32
@@ -231,7 +231,7 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     base = texts(docs)
-    rows = materialize(base.mapInArrow(_sketches(width), "doc_id long, n long, digest binary, sketch array<long>"), "sketches")
+    rows = materialize(base.mapInArrow(trimmed(_sketches(width)), "doc_id long, n long, digest binary, sketch array<long>"), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = materialize(classes, "classes")
     entries = _lists(rows, classes, percent)
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = entries.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = base.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    sets = materialize(sets.select("doc_id", "text").mapInArrow(_full_sets(width), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    sets = materialize(sets.select("doc_id", "text").mapInArrow(trimmed(_full_sets(width)), "rep long, set binary").dropDuplicates(["rep"]), "sets")
     verify = _Verifier(sets, percent)
 
     links = [verify(entries.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, give_back, scramble, texts, utf8, word_hashes
+from .common import blocks, byte_codes, give_back, scramble, texts, trim, trimmed, utf8, word_hashes
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "slots", "toxic"])
 
     # At most train_rows short rows: their number is the bound that lets them be broadcast.
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, slots binary, toxic int")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(trimmed(extract), "doc_id long, slots binary, toxic int")
     # A partition at a time comes to the driver, so what it holds is bounded however long the documents are.
     kept, slots = [], 0
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
@@ -166,7 +166,9 @@ def scorer(model: Model):
     def run(column: pa.Array) -> pa.Array:
         if not made:
             made.append(model.dense())
-        return pa.array(scores(column, made[0], model.bias))
+        out = pa.array(scores(column, made[0], model.bias))
+        trim()
+        return out
 
     return F.arrow_udf(run, "double")
 
@@ -179,5 +181,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), dense, model.bias))], ["doc_id", "score"])
 
-    out = texts(docs).mapInArrow(run, "doc_id long, score double")
+    out = texts(docs).mapInArrow(trimmed(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
