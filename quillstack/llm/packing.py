@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import texts, trimmed, utf8
 
 MAX_TOKENS = 2048
-#: Chunks, and words, whose ids a worker keeps for good; frequent ones come early. As many as CACHE_YOUNG later ones
+#: Chunks and words whose ids a worker keeps for good; frequent ones come early. As many as CACHE_YOUNG later ones
 #: are kept until they are full, so a worker's memory is bounded.
-CACHE_CHUNKS, CACHE_YOUNG = 120_000, 40_000
+CACHE_CHUNKS, CACHE_YOUNG = 300_000, 80_000
 #: Longer chunks are encoded each time and never kept.
 CACHE_BYTES = 48
 
@@ -54,8 +54,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.seen: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}  # words and punctuation as well: they are chunks themselves
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
 
@@ -75,10 +74,9 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Puts the ids of all chunks but the long ones among the seen."""
-        for cache in (self.seen, self.words):
-            if len(cache) > CACHE_CHUNKS + CACHE_YOUNG:
-                for c in list(cache)[CACHE_CHUNKS:]:
-                    del cache[c]
+        if len(self.seen) > CACHE_CHUNKS + CACHE_YOUNG:
+            for c in list(self.seen)[CACHE_CHUNKS:]:
+                del self.seen[c]
         chunks = chunks.difference(self.seen)
         parts, fresh = [], {}
         for c in chunks:
@@ -88,7 +86,7 @@ class ChunkEncoder:
                 # Some letters are none any more once they are normalised, and would run on into the punctuation.
                 if core and (core.isalpha() if core.isascii() else unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha()):
                     parts.append((c, key, c[len(core) :]))
-                    if key not in self.words:
+                    if key not in self.seen:
                         fresh[key] = None
                 else:
                     self.seen[c] = self._ids(c).tobytes()
@@ -99,11 +97,11 @@ class ChunkEncoder:
             if len(cuts) == len(plain):
                 a = 0
                 for key, b in zip(plain, cuts.tolist(), strict=True):
-                    self.words[key] = ids[a:b].tobytes()
+                    self.seen[key] = ids[a:b].tobytes()
                     a = b
             else:
                 for key in plain:
-                    self.words[key] = self._ids(key).tobytes()
+                    self.seen[key] = self._ids(key).tobytes()
         if len(plain) < len(fresh):
             others = [key for key in fresh if not key.isascii()]
             texts = [key.decode("utf-8", "replace") for key in others]
@@ -111,11 +109,11 @@ class ChunkEncoder:
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids, cuts = np.array(found.ids, "<u4"), np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
             for key, a, b in zip(others, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.words[key] = ids[a:b].tobytes()
+                self.seen[key] = ids[a:b].tobytes()
         for c, key, tail in parts:
-            if tail and tail not in self.words:
-                self.words[tail] = self._ids(tail).tobytes()
-            self.seen[c] = self.words[key] + self.words[tail] if tail else self.words[key]
+            if tail and tail not in self.seen:
+                self.seen[tail] = self._ids(tail).tobytes()
+            self.seen[c] = self.seen[key] + self.seen[tail] if tail else self.seen[key]
 
 
 @lru_cache(maxsize=1)
