@@ -46,6 +46,8 @@ LIST = 64
 BLOCK_BYTES = 1 << 19
 #: Of two longs each.
 BROADCAST_ROWS = 500_000
+#: Differences of one group that are counted together.
+PART = 1 << 15
 
 _CODES = byte_codes(6)
 _MIX = np.uint64(0x9E6C63D0676A9A99)
@@ -196,6 +198,34 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(_difference(percent), "hub long, rep long, label long, n long, nh long, linked boolean, delta array<long>")
 
 
+def _split(batches):
+    """hub, rep, parts, delta -> each member's differences as an array for each part of its group; a value is always of the same part."""
+    for batch in batches:
+        hubs, numbers, reps, values = [], [], [], []
+        for hub, rep, parts, delta in zip(*batch.columns, strict=True):
+            v = delta.values.to_numpy(zero_copy_only=False)
+            of = v.view(np.uint64) % np.uint64(parts.as_py())
+            order = np.argsort(of, kind="stable")
+            present, first = np.unique(of[order], return_index=True)
+            for part, run in zip(present.tolist(), np.split(v[order], first[1:]), strict=False):
+                hubs.append(hub.as_py()), numbers.append(part), reps.append(rep.as_py()), values.append(run)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (hubs, numbers, reps)), pa.array(values, pa.list_(pa.int64()))], ["hub", "part", "rep", "values"])
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """One part of a group -> for each member the values that others have too, with the number of members that have them."""
+    lists = group["values"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    times = times[place]
+    held = times > 1
+    ends = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(lengths)])]
+    values = pa.StructArray.from_arrays([pa.array(times[held], pa.int64()), pa.array(flat[held], pa.int64())], ["times", "value"])
+    out = pa.table({"hub": group["hub"], "rep": group["rep"], "values": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+    return out.filter(pa.array(np.diff(ends) > 0))
+
+
 def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
     """hub, value, rep, label, n, linked, d, shared, strong: each member under the rarest of its differences from the hub.
 
@@ -203,11 +233,13 @@ def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
     dx + dy - 2 o <= c (nx + ny), where c = (100 - percent) / (100 + percent). If x is not linked to the hub,
     dx > c (nx + nh), and so 2 o > dy - c (ny - nh) for its partner y (``strong``), and o >= (dx - c (nx + nh)) / (1 + c)
     for x itself. Of d differences in one order for all, the d - o + 1 first ones contain a common one. A difference
-    that no other member has can't be common, so it takes its place, the first, but has no entry.
+    that no other member has can't be common, so it takes its place, the first, but has no entry. They are counted as
+    arrays, in parts of about ``PART`` values (and what a value has that very many members share), not as a row each.
     """
-    flat = deltas.select("hub", "rep", F.explode("delta").alias("value"))
-    times = flat.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    ranked = flat.join(times, ["hub", "value"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
+    parts = deltas.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("delta")) / PART)).alias("parts"))
+    split = deltas.join(parts, "hub").select("hub", "rep", "parts", "delta").mapInArrow(_split, "hub long, part long, rep long, values array<long>")
+    counted = split.groupBy("hub", "part").applyInArrow(_counted, "hub long, rep long, values array<struct<times:long,value:long>>")
+    ranked = counted.groupBy("hub", "rep").agg(F.sort_array(F.flatten(F.collect_list("values"))).alias("values"))
     c, k = 100 - percent, 100 + percent
     d, shared = F.size("delta").cast("long"), F.size("values").cast("long")
     strong = F.floor((k * d - c * (F.col("n") - F.col("nh"))) / (2 * k)) + 1

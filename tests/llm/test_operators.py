@@ -509,6 +509,21 @@ def test_near_copies_at_the_threshold(spark):
     assert got == {1: 1, 2: 1}
 
 
+def test_differences_are_counted_as_arrays(spark, monkeypatch):
+    r = random.Random(4)
+    data = [(1, k, k, 150, 150, k < 3, sorted(r.sample(range(-60, 60), 30))) for k in range(20)] + [(2, 5, 5, 9, 9, True, []), (2, 6, 6, 9, 9, False, [1, 2, 3]), (2, 7, 7, 9, 9, False, [2, 3, -(2**63)])]
+    data = [(*x, [0] * 8, 0) for x in data]
+    deltas = spark.createDataFrame(data, "hub long, rep long, label long, n long, nh long, linked boolean, delta array<long>, bits array<long>, clash long")
+    whole = sketch_dedup._rarest(deltas, 80)
+    assert "explode(delta" not in whole._jdf.queryExecution().toString()
+    want = rows(whole)
+    monkeypatch.setattr(sketch_dedup, "PART", 70)
+    assert rows(sketch_dedup._rarest(deltas, 80)) == want and want
+    times = Counter((x[0], v) for x in data for v in x[6])
+    assert {x.rep: x.shared for x in whole.collect() if x.hub == 1} == {k: sum(times[1, v] > 1 for v in data[k][6]) for k in range(20)}
+    assert {(x.rep, x.value) for x in whole.collect() if x.hub == 2} <= {(k, v) for k in (6, 7) for v in (2, 3)}
+
+
 @pytest.mark.parametrize("local", [200_000, 0])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(components, "LOCAL_LINKS", local)
