@@ -48,6 +48,8 @@ BLOCK_BYTES = 1 << 19
 BROADCAST_ROWS = 500_000
 #: Differences of one group that are counted together.
 PART = 1 << 15
+#: Bits that bound how many differences two members share.
+BITS = 512
 
 _CODES = byte_codes(6)
 _MIX = np.uint64(0x9E6C63D0676A9A99)
@@ -175,27 +177,31 @@ def _mixed(entries: DataFrame, *keys: str) -> DataFrame:
 
 
 def _difference(percent: int):
-    """hub, rep, label, set, the hub's set -> with sizes, whether they are linked, and what only one of them has."""
+    """hub, rep, label, set, the hub's set -> with sizes, whether they are linked, and what only one of them has, also as ``BITS`` bits with the number of those that clash."""
 
     def run(batches):
         for batch in batches:
-            n, of, linked, delta = [], [], [], []
+            n, of, linked, delta, bits, clash = [], [], [], [], [], []
             for x, y in zip(batch.column(3), batch.column(4), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 d = np.setxor1d(x, y, assume_unique=True)
                 shared = (len(x) + len(y) - len(d)) // 2
                 n.append(len(x)), of.append(len(y)), delta.append(d.view(np.int64))
                 linked.append(100 * shared >= percent * (shared + len(d)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["hub", "rep", "label", "n", "nh", "linked", "delta"])
+                table = np.zeros(BITS, bool)
+                table[d % np.uint64(BITS)] = True
+                bits.append(np.packbits(table).view(np.int64)), clash.append(len(d) - int(table.sum()))
+            numbers = [pa.array(x, pa.int64()) for x in (n, of)], [pa.array(x, pa.list_(pa.int64())) for x in (delta, bits)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *numbers[0], pa.array(linked, pa.bool_()), *numbers[1], pa.array(clash, pa.int64())], ["hub", "rep", "label", "n", "nh", "linked", "delta", "bits", "clash"])
 
     return run
 
 
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub, rep, label, n, nh, linked, delta: each member's shingles that its hub has not, and the other way round."""
+    """hub, rep, label, n, nh, linked, delta, bits, clash: each member's shingles that its hub has not, and the other way round."""
     of = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
     pairs = groups.join(of("rep"), "rep").join(of("hub"), "hub").select("hub", "rep", "label", "set_rep", "set_hub")
-    return pairs.mapInArrow(_difference(percent), "hub long, rep long, label long, n long, nh long, linked boolean, delta array<long>")
+    return pairs.mapInArrow(_difference(percent), "hub long, rep long, label long, n long, nh long, linked boolean, delta array<long>, bits array<long>, clash long")
 
 
 def _split(batches):
@@ -227,7 +233,7 @@ def _counted(group: pa.Table) -> pa.Table:
 
 
 def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
-    """hub, value, rep, label, n, linked, d, shared, strong: each member under the rarest of its differences from the hub.
+    """hub, value, rep, label, n, linked, d, bits, clash, shared, rank, strong: each member under the rarest of its differences from the hub.
 
     Let x and y differ from the hub in dx and dy shingles, o of them the same ones. They are linked if and only if
     dx + dy - 2 o <= c (nx + ny), where c = (100 - percent) / (100 + percent). If x is not linked to the hub,
@@ -244,19 +250,33 @@ def _rarest(deltas: DataFrame, percent: int) -> DataFrame:
     d, shared = F.size("delta").cast("long"), F.size("values").cast("long")
     strong = F.floor((k * d - c * (F.col("n") - F.col("nh"))) / (2 * k)) + 1
     weak = F.greatest(F.lit(1), F.ceil((k * d - c * (F.col("n") + F.col("nh"))) / (c + k)))
-    held = deltas.join(ranked, ["hub", "rep"]).select("hub", "rep", "label", "n", "linked", d.alias("d"), shared.alias("shared"), (shared - strong + 1).alias("first"), F.when(F.col("linked"), shared - strong + 1).otherwise(shared - weak + 1).alias("last"), "values")
+    held = deltas.join(ranked, ["hub", "rep"]).select("hub", "rep", "label", "n", "linked", "bits", "clash", d.alias("d"), shared.alias("shared"), (shared - strong + 1).alias("first"), F.when(F.col("linked"), shared - strong + 1).otherwise(shared - weak + 1).alias("last"), "values")
     taken = F.slice("values", F.lit(1), F.greatest(F.lit(0), F.greatest("first", "last")).cast("int"))
-    return held.select("hub", "rep", "label", "n", "linked", "d", "shared", "first", F.posexplode(taken).alias("rank", "v")).select("hub", "v.value", "rep", "label", "n", "linked", "d", "shared", (F.col("rank") < F.col("first")).alias("strong"))
+    kept = ["rep", "label", "n", "linked", "d", "bits", "clash", "shared"]
+    return held.select("hub", *kept, "first", F.posexplode(taken).alias("rank", "v")).select("hub", "v.value", *kept, "rank", (F.col("rank") < F.col("first")).alias("strong"))
+
+
+def _needed(percent: int) -> Column:
+    """2 (100 + percent) times the differences from one hub that members must have in common to be linked."""
+    return (100 + percent) * (F.col("d") + F.col("da")) - (100 - percent) * (F.col("n") + F.col("na"))
+
+
+def _may_share(percent: int) -> Column:
+    """Whether members may have them: common differences set common bits, or fewer by as many as clash in one of the two. Exact, and sharp up to some 300 differences."""
+    both = reduce(Column.__add__, (F.bit_count(F.col("bits")[k].bitwiseAND(F.col("bitsa")[k])) for k in range(BITS // 64)))
+    return 2 * (100 + percent) * (both + F.least("clash", "clasha")) >= _needed(percent)
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs that are listed under one difference and may be linked: one not linked to the hub, the other by its strong ones."""
-    c, k = 100 - percent, 100 + percent
-    names = {"rep": "a", "label": "la", "n": "na", "linked": "linkeda", "d": "da", "shared": "shareda", "strong": "stronga"}
+    """Pairs that are listed under one difference and may be linked: one not linked to the hub, the other by its strong ones.
+
+    The first difference that they have in common is among those they are listed under, and all others come after it in both.
+    """
+    names = {"rep": "a", "label": "la", "n": "na", "linked": "linkeda", "d": "da", "bits": "bitsa", "clash": "clasha", "shared": "shareda", "rank": "ranka", "strong": "stronga"}
     other = entries.where("strong").select("hub", "value", *(F.col(x).alias(y) for x, y in names.items()))
-    room = 2 * k * F.least("shared", "shareda") >= k * (F.col("d") + F.col("da")) - c * (F.col("n") + F.col("na"))
+    room = 2 * (100 + percent) * F.least(F.col("shared") - F.col("rank"), F.col("shareda") - F.col("ranka")) >= _needed(percent)
     once = F.col("linkeda") | (F.col("strong") & (F.col("rep") < F.col("a")))
-    met = entries.where("not linked").join(other, ["hub", "value"]).where((F.col("label") != F.col("la")) & once & room & _alike(percent))
+    met = entries.where("not linked").join(other, ["hub", "value"]).where((F.col("label") != F.col("la")) & once & room & _alike(percent) & _may_share(percent))
     return met.select(F.col("a"), F.col("rep").alias("b"))
 
 
@@ -292,8 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         met = _rarest(deltas.join(_mixed(deltas, "hub"), "hub", "left_semi"), percent)
         met = materialize(met.join(_mixed(met, "hub", "value"), ["hub", "value"], "left_semi"), "met")
         # Again each list's members are first compared with one, the nearest to the hub.
-        nearest = met.groupBy("hub", "value").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct("d", "rep")).alias("p")).select("hub", "value", "p.*")
-        picks = met.join(nearest, ["hub", "value"]).where((F.col("label") != F.col("la")) & _alike(percent)).select("a", F.col("rep").alias("b"))
+        nearest = met.groupBy("hub", "value").agg(F.min_by(F.struct(*(F.col(x).alias(y) for x, y in (("rep", "a"), ("n", "na"), ("label", "la"), ("d", "da"), ("bits", "bitsa"), ("clash", "clasha")))), F.struct("d", "rep")).alias("p")).select("hub", "value", "p.*")
+        picks = met.join(nearest, ["hub", "value"]).where((F.col("label") != F.col("la")) & _alike(percent) & _may_share(percent)).select("a", F.col("rep").alias("b"))
         links.append(verify(pairs.unionByName(picks)))
         met = _labelled(met.drop("label"), components(reduce(DataFrame.unionByName, links)))
         links.append(verify(_meetings(materialize(met.join(_mixed(met, "hub", "value"), ["hub", "value"], "left_semi"), "met"), percent)))

@@ -509,6 +509,17 @@ def test_near_copies_at_the_threshold(spark):
     assert got == {1: 1, 2: 1}
 
 
+def edited_copies(n, words, most, spare):
+    """A text and n - 1 copies in which up to a share of the words is replaced by a few others, so that many differ in the same way."""
+    r = random.Random(n)
+    base = [f"w{k}" for k in range(words)]
+    out = [(0, " ".join(base))]
+    for i in range(1, n):
+        share = r.uniform(0, most)
+        out.append((i, " ".join(f"s{r.randrange(spare)}" if r.random() < share else w for w in base)))
+    return out
+
+
 def test_differences_are_counted_as_arrays(spark, monkeypatch):
     r = random.Random(4)
     data = [(1, k, k, 150, 150, k < 3, sorted(r.sample(range(-60, 60), 30))) for k in range(20)] + [(2, 5, 5, 9, 9, True, []), (2, 6, 6, 9, 9, False, [1, 2, 3]), (2, 7, 7, 9, 9, False, [2, 3, -(2**63)])]
@@ -524,6 +535,15 @@ def test_differences_are_counted_as_arrays(spark, monkeypatch):
     assert {(x.rep, x.value) for x in whole.collect() if x.hub == 2} <= {(k, v) for k in (6, 7) for v in (2, 3)}
 
 
+def test_meetings_of_a_group_grow_no_faster_than_it(spark, monkeypatch):
+    met, real = [], sketch_dedup._meetings
+    monkeypatch.setattr(sketch_dedup, "_meetings", lambda *x: met.append(real(*x).count()) or real(*x))
+    data = edited_copies(600, 120, 0.1, 3)
+    got = {x.doc_id: tuple(x)[1:] for x in sketch_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute_near(data, 3, 85)
+    assert sum(not x[2] for x in got.values()) > 50 and len(met) == 1 and met[0] <= len(data)
+
+
 @pytest.mark.parametrize("local", [200_000, 0])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(components, "LOCAL_LINKS", local)
