@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,61 +10,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import read_parquet, shared_dir
+from ..arrow import bound_batches, trim
+from ..storage import materialize, read_parquet  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-#: A worker gets its rows in Arrow batches of so many bytes at most (or of one row), however long the texts are.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = spark.conf.get(key, None)
-    if given is None or not given.isdigit() or int(given) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that the document operators read; a null text counts as empty."""
     bound_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-#: Spark's setting to remove a query's shuffle files as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet under the shared folder and returns the table read back.
-
-    The table outlives lost executors and goes when the application ends; the write's shuffle files go when it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def trim() -> None:
-    """Returns memory that is free to the system, where its C library can; a process else keeps what it once took."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
 def give_back() -> None:
     """The same after a fit, whose parts may hold each other."""
     gc.collect()
