@@ -50,7 +50,11 @@ def _in_order(order: str, text: str = "summary") -> Column:
 
 def combine_sections(summaries: DataFrame) -> DataFrame:
     """doc_id, section, seq (of its first piece), n_pieces, text: pieces in lexicographic order of their keys."""
-    return summaries.withColumn("section", section_name(F.col("chunk_key"))).groupBy("doc_id", "section").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_pieces"), _in_order("chunk_key").alias("text"))
+    return _combined(summaries)
+
+
+def _combined(summaries: DataFrame, *more: Column) -> DataFrame:
+    return summaries.withColumn("section", section_name(F.col("chunk_key"))).groupBy("doc_id", "section").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_pieces"), _in_order("chunk_key").alias("text"), *more)
 
 
 def multi_part(summaries: DataFrame) -> DataFrame:
@@ -70,10 +74,10 @@ def _summary_config(config: ReduceConfig, base: SummaryConfig | None) -> Summary
 def reduce_sections(summaries: DataFrame, backend: Callable[[], Summarizer] | None = None, config: ReduceConfig | None = None, summary: SummaryConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Summaries by section, and the log. A section of one piece keeps its summary and costs no call."""
     config = config or ReduceConfig()
-    combined = combine_sections(summaries)
-    keyed = summaries.withColumn("section", section_name(F.col("chunk_key"))).groupBy("doc_id", "section").agg(_pieces("chunk_key", "summary", "chunk_key").alias("inputs"))
-    single = combined.where("n_pieces = 1").select("doc_id", "section", "seq").join(summaries.select("doc_id", "seq", "summary"), ["doc_id", "seq"])
-    several = summarise(combined.where("n_pieces > 1").join(keyed, ["doc_id", "section"]), backend, _summary_config(config, summary))
+    # Both tables are kept: several readers would each summarise what comes before once more.
+    combined = _cut_lineage(_combined(summaries, _pieces("chunk_key", "summary", "chunk_key").alias("inputs")))
+    single = combined.where("n_pieces = 1").select("doc_id", "section", "seq", F.col("inputs")[0]["text"].alias("summary"))
+    several = _cut_lineage(summarise(combined.where("n_pieces > 1"), backend, _summary_config(config, summary)))
     log = _entry(several, SECTION, 1, F.col("section"), F.col("n_pieces"), F.col("inputs"), "text", _one(F.col("section"), "summary"), "summary")
     out = single.select("doc_id", "seq", "section", "summary").unionByName(several.select("doc_id", "seq", "section", "summary"))
     return out.withColumnRenamed("section", "chunk_key"), log
@@ -128,7 +132,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def reduce_all(summaries: DataFrame, backend: Callable[[], Summarizer] | None = None, config: ReduceConfig | None = None, summary: SummaryConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Section summaries, papers and the whole log."""
     sections, log = reduce_sections(summaries, backend, config, summary)
-    sections = _cut_lineage(sections)
     papers, more = reduce_paper(sections, backend, config, summary)
     return sections, papers, log.unionByName(more)
 

@@ -10,12 +10,14 @@ import logging
 import re
 import time
 from collections.abc import Callable
+from itertools import islice
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import bound_batches, slices, trim
 from ..config import SummaryConfig
 from ..functions import guards
 
@@ -48,7 +50,7 @@ class Lead:
         out = []
         for messages in batch:
             text = messages[-1]["content"].partition(BODY)[2].rpartition(ANSWER)[0]
-            out.append("".join(_SENTENCE.findall(text)[: self.sentences]))
+            out.append("".join(m[0] for m in islice(_SENTENCE.finditer(text), self.sentences)))
         return out
 
 
@@ -113,14 +115,22 @@ def summarise(chunks: DataFrame, backend: Callable[[], Summarizer] | None = None
     config = config or SummaryConfig()
     make = backend or (lambda: Lead(config.sentences))
     models: list[Summarizer] = []
+    bound_batches(chunks.sparkSession)
 
     def run(texts: pa.Array) -> pa.Array:
         if not models:
             models.append(made(make, config))
-        rows, began = [t or "" for t in texts.to_pylist()], time.monotonic()
-        answers = summarise_batch(rows, models[0], config)
-        each = (time.monotonic() - began) / max(1, sum(map(len, rows)))
-        return pa.StructArray.from_arrays([pa.array(answers, pa.string()), pa.array([each * len(t) for t in rows], pa.float64())], ["summary", "seconds"])
+        answers, seconds = [], []
+        for rows in slices(texts):
+            began = time.monotonic()
+            answers += summarise_batch(rows, models[0], config)
+            each = (time.monotonic() - began) / max(1, sum(map(len, rows)))
+            seconds += [each * len(t) for t in rows]
+            del rows
+        out = pa.StructArray.from_arrays([pa.array(answers, pa.string()), pa.array(seconds, pa.float64())], ["summary", "seconds"])
+        del answers
+        trim()
+        return out
 
     out = chunks.drop("summary", "han", "seconds").withColumn("__answer", F.arrow_udf(run, "summary string, seconds double")(column))
     out = out.withColumns({"summary": F.col("__answer.summary"), "seconds": F.col("__answer.seconds")}).drop("__answer")

@@ -1,13 +1,17 @@
 """Workers stay small however many texts come at once, and no step runs twice."""
 
+import os
 import tracemalloc
+import uuid
 
 import pyarrow as pa
 
 from conftest import rows
 from quillstack.arrow import slices
-from quillstack.config import ChunkConfig
+from quillstack.config import ChunkConfig, ReduceConfig, SummaryConfig
 from quillstack.operators import chunk as C
+from quillstack.operators import reduce as R
+from quillstack.operators.summarize import Lead, summarise
 
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -33,3 +37,36 @@ def test_chunks_of_a_batch_are_not_all_python_objects(spark, monkeypatch):
     assert len(out) == 2000 and out.type.value_type.field("text").type == pa.string()
     assert [c["text"] for c in out[1999].as_py()] == [c[1] for c in C.cut(texts[1999].as_py(), ChunkConfig())]
     assert peak < 12 << 20, peak
+
+
+class Counted:
+    """Answers with the text's first sentences; writes down the size of every call and its texts."""
+
+    def __init__(self, folder: str):
+        self.folder, self.lead = folder, Lead(2)
+
+    def generate(self, batch, max_tokens):
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+            f.write(f"{len(batch)} {sum(len(m[-1]['content']) for m in batch)}")
+        return self.lead.generate(batch, max_tokens)
+
+
+def calls(folder) -> list[tuple[int, int]]:
+    return [tuple(map(int, p.read_text().split())) for p in folder.iterdir()]
+
+
+def test_every_text_is_summarised_once(spark, tmp_path):
+    keys = ["chapter 1", "chapter 1.1", "chapter 2", "page 3"]
+    given = [(d, k, key, f"Text {d} {key}. " + "It goes on. " * 9) for d in (1, 2, 3, None) for k, key in enumerate(keys)]
+    summaries = spark.createDataFrame(given, "doc_id long, seq int, chunk_key string, summary string")
+    sections, log = R.reduce_sections(summaries, lambda: Counted(str(tmp_path)), ReduceConfig(sentences=2))
+    assert rows(log, "doc_id", "name", "n_inputs") == [(1, "chapter 1", 2), (2, "chapter 1", 2), (3, "chapter 1", 2), (None, "chapter 1", 2)]
+    assert rows(sections.where("doc_id IS NULL OR doc_id = 2"), "doc_id", "seq", "chunk_key") == [(d, k, key) for d in (2, None) for k, key in ((0, "chapter 1"), (2, "chapter 2"), (3, "page 3"))]
+    assert sum(n for n, _ in calls(tmp_path)) == 4
+
+
+def test_a_model_gets_slices(spark, tmp_path):
+    df = spark.createDataFrame([(k, "One. Two. Three. " * 1000) for k in range(300)], "doc_id long, text string").coalesce(1)
+    got = summarise(df, lambda: Counted(str(tmp_path)), SummaryConfig(sentences=2)).select("doc_id", "summary").collect()
+    assert sorted(got) == [(k, "One. Two.") for k in range(300)]
+    assert sum(n for n, _ in calls(tmp_path)) == 300 and max(size for _, size in calls(tmp_path)) < 1.1 * (1 << 20)
