@@ -34,8 +34,8 @@ def _pieces(key: str, text: str, order: str) -> Column:
     return F.transform(rows, lambda r: F.struct(r["key"].alias("key"), r["text"].alias("text")))
 
 
-def _entry(df: DataFrame, stage: str, number: int, name: Column, n_inputs: Column, inputs: Column, given: str, outputs: Column, made: str) -> DataFrame:
-    return df.select("doc_id", F.lit(stage).alias("stage"), F.lit(number).alias("round"), name.alias("name"), n_inputs.cast("long").alias("n_inputs"), inputs.cast(_PIECES).alias("inputs"), F.col(given).alias("input_text"), outputs.cast(_PIECES).alias("outputs"), F.col(made).alias("output_text"), "seconds")
+def _entry(df: DataFrame, stage: Column, number: Column, name: Column, n_inputs: Column, inputs: Column, given: str, outputs: Column, made: str) -> DataFrame:
+    return df.select("doc_id", stage.alias("stage"), number.alias("round"), name.alias("name"), n_inputs.cast("long").alias("n_inputs"), inputs.cast(_PIECES).alias("inputs"), F.col(given).alias("input_text"), outputs.cast(_PIECES).alias("outputs"), F.col(made).alias("output_text"), "seconds")
 
 
 def _one(key: Column, text: str) -> Column:
@@ -78,7 +78,7 @@ def reduce_sections(summaries: DataFrame, backend: Callable[[], Summarizer] | No
     combined = _cut_lineage(_combined(summaries, _pieces("chunk_key", "summary", "chunk_key").alias("inputs")))
     single = combined.where("n_pieces = 1").select("doc_id", "section", "seq", F.col("inputs")[0]["text"].alias("summary"))
     several = _cut_lineage(summarise(combined.where("n_pieces > 1"), backend, _summary_config(config, summary)))
-    log = _entry(several, SECTION, 1, F.col("section"), F.col("n_pieces"), F.col("inputs"), "text", _one(F.col("section"), "summary"), "summary")
+    log = _entry(several, F.lit(SECTION), F.lit(1), F.col("section"), F.col("n_pieces"), F.col("inputs"), "text", _one(F.col("section"), "summary"), "summary")
     out = single.select("doc_id", "seq", "section", "summary").unionByName(several.select("doc_id", "seq", "section", "summary"))
     return out.withColumnRenamed("section", "chunk_key"), log
 
@@ -92,12 +92,10 @@ def reduce_paper(summaries: DataFrame, backend: Callable[[], Summarizer] | None
     config = config or ReduceConfig()
     options = _summary_config(config, summary)
     cuts = ChunkConfig(config.char_limit, "paragraph", config.percent, config.overlap)
-    pending, done, logs = _cut_lineage(merge_all(summaries)), [], []
+    pending, ready, logs = _cut_lineage(merge_all(summaries)), [], []
 
-    def finish(ready: DataFrame, stage: str, number: int) -> None:
-        final = _cut_lineage(summarise(ready, backend, options))
-        done.append(final.select("doc_id", F.col("summary").alias("paper")))
-        logs.append(_entry(final, stage, number, F.lit("paper"), F.lit(1), _one(F.lit("paper"), "text"), "text", _one(F.lit("paper"), "summary"), "summary"))
+    def finish(texts: DataFrame, stage: str, number: int) -> None:
+        ready.append(texts.select("doc_id", "text", F.lit(stage).alias("stage"), F.lit(number).alias("round")))
 
     for number in range(1, config.rounds + 1):
         fits = F.length("text") <= config.char_limit
@@ -115,11 +113,14 @@ def reduce_paper(summaries: DataFrame, backend: Callable[[], Summarizer] | None
         )
         after = pending.select("doc_id", F.col("text").alias("input_text")).join(merged, "doc_id", "left")
         after = _cut_lineage(after.withColumns({"text": F.coalesce("text", F.lit("")), "n_inputs": F.coalesce("n_inputs", F.lit(0)), "seconds": F.coalesce("seconds", F.lit(0.0))}))
-        logs.append(_entry(after, RECHUNK, number, F.lit("paper"), F.col("n_inputs"), F.col("inputs"), "input_text", F.col("outputs"), "text"))
+        logs.append(_entry(after, F.lit(RECHUNK), F.lit(number), F.lit("paper"), F.col("n_inputs"), F.col("inputs"), "input_text", F.col("outputs"), "text"))
         pending = after.select("doc_id", "text")
     else:
         finish(pending, LAST, config.rounds + 1)
-    return _union(done), _union(logs)
+    # The last summaries of all rounds are made together, in one job.
+    final = _cut_lineage(summarise(_union(ready), backend, options))
+    last = _entry(final, F.col("stage"), F.col("round"), F.lit("paper"), F.lit(1), _one(F.lit("paper"), "text"), "text", _one(F.lit("paper"), "summary"), "summary")
+    return final.select("doc_id", F.col("summary").alias("paper")), _union([*logs, last])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -70,3 +70,14 @@ def test_a_model_gets_slices(spark, tmp_path):
     got = summarise(df, lambda: Counted(str(tmp_path)), SummaryConfig(sentences=2)).select("doc_id", "summary").collect()
     assert sorted(got) == [(k, "One. Two.") for k in range(300)]
     assert sum(n for n, _ in calls(tmp_path)) == 300 and max(size for _, size in calls(tmp_path)) < 1.1 * (1 << 20)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_without_front_are_cut_once(spark):
+    keyed = [(1, 0, "title"), (1, 1, "chapter 1"), (2, 0, "front front"), (None, 0, "title"), (None, 1, "page 1"), (3, 0, None), (3, 1, "title")]
+    df = spark.createDataFrame(keyed, "doc_id long, seq int, chunk_key string")
+    assert rows(C.drop_front(df)) == [(1, 1, "chapter 1"), (2, 0, "front front"), (3, 1, "title"), (None, 0, "title"), (None, 1, "page 1")]
+    assert plan(C.drop_front(C.chunk(df.selectExpr("doc_id", "chunk_key AS text")))).count("ArrowEvalPython ") == 1
