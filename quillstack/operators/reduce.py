@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, ReduceConfig, SummaryConfig
 from ..functions.text import strip
-from ..storage import shared_dir
+from ..storage import materialize
 from .chunk import chunk
 from .order import ordered, section_name
 from .summarize import Summarizer, summarise
@@ -87,7 +87,7 @@ def reduce_paper(summaries: DataFrame, backend: Callable[[], Summarizer] | None
     """doc_id, paper, and the log. All documents go through a round together; those whose text fits leave it.
 
     Each round cuts by paragraphs what doesn't fit, and with ``drop_front`` leaves out what stands before the
-    first paragraph, in every round. Rounds are cut off by checkpoint(), so that no model call is repeated.
+    first paragraph, in every round. Rounds are cut off by intermediate tables, so that no model call is repeated.
     """
     config = config or ReduceConfig()
     options = _summary_config(config, summary)
@@ -156,12 +156,5 @@ def synthesise(papers: DataFrame, backend: Callable[[], Summarizer] | None = Non
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    # The plan's last stage would run a second time for the checkpoint's files, and call the model again.
-    kept = df.persist()
-    out = kept.checkpoint()
-    kept.unpersist()
-    return out
+    """The table, written once and read back: what made it doesn't run again, and Parquet keeps it smaller than a checkpoint's rows."""
+    return materialize(df, "reduce")

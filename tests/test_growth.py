@@ -81,3 +81,11 @@ def test_chunks_without_front_are_cut_once(spark):
     df = spark.createDataFrame(keyed, "doc_id long, seq int, chunk_key string")
     assert rows(C.drop_front(df)) == [(1, 1, "chapter 1"), (2, 0, "front front"), (3, 1, "title"), (None, 0, "title"), (None, 1, "page 1")]
     assert plan(C.drop_front(C.chunk(df.selectExpr("doc_id", "chunk_key AS text")))).count("ArrowEvalPython ") == 1
+
+
+def test_rounds_and_ranges_are_read_back_as_parquet(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE", 10)
+    papers = spark.createDataFrame([(k, f"n{k}", f"Paper {k}. It says so. ") for k in range(35)], "ordinal long, name string, paper string")
+    out, log = R.synthesise(papers, lambda: Lead(2), ReduceConfig(char_limit=200, overlap=5, rounds=2))
+    assert "ExistingRDD" not in plan(out) + plan(log) and "FileScan parquet" in plan(out)
+    assert out.count() == 1 and log.where("doc_id > 0").select("doc_id").distinct().count() == 3
